@@ -5,6 +5,9 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
+    "op05_cube_mix",
+    "op08_direct_codes",
+    "op09_label_shards",
     "op10_block_naming",
 ]
 
