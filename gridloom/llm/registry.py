@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
+    "op01_sentencepiece",
     "op05_cube_mix",
     "op08_direct_codes",
     "op09_label_shards",
