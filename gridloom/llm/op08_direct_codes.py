@@ -39,10 +39,17 @@ SEGMENT_IDS = 16_384
 _RANK_BITS = 512
 _LEVEL = "struct<chunks: binary, more: binary, ranks: binary>"
 SCHEMA = f"part int, seg bigint, start bigint, n bigint, doc_ids array<bigint>, doc_lens array<bigint>, levels array<{_LEVEL}>"
-#: A cut before a space that follows a character of no white space is never inside one of the
-#: tokenizer's words, so pieces between cuts encode apart from each other.
-_CUT = re.compile("(?<=[^\\s\\u180e\\u200b\\u2060\\ufeff])(?= )")
-_CACHE = 150_000
+_CACHE = 300_000
+#: What the tokenizer, or an older table of white space, might take for white space.
+_BLANK = r"\s\u180e\u200b\u2060\ufeff"
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_POINT = r""".,;:!?|#$%&*()"-"""
+# The tokenizer's words never hold a character of no white space followed by white space, nor a
+# letter next to one of these points, so a text may be cut there and its pieces encoded apart.
+_AT_SPACE = re.compile(f"(?<=[^{_BLANK}])(?= )")
+_IN_PIECE = re.compile(f"(?<=[{_LETTER}])(?=[{_POINT}])|(?<=[{_POINT}])(?=[{_LETTER}])|(?<=[^{_BLANK}])(?=\n)")
+_STEM = re.compile(f" [^{_BLANK}]+")
+_ODD_END = re.compile(f"[{_BLANK}]$")
 
 
 class Encoder:
@@ -54,25 +61,89 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        #: pieces after a space, by their text without it; all other pieces
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {}
+        self.long = False
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _other(self, piece: str) -> bytes:
+        code = self.rest.get(piece)
+        if code is None:
+            code = self._plain([piece])[0].tobytes() if piece else b""
+            if len(piece) < 32:
+                if len(self.rest) > _CACHE:
+                    self.rest.clear()
+                self.rest[piece] = code
+        return code
+
+    def _learn(self, stems: list[str]) -> None:
+        """Encode words that follow a space, many in one string: each begins with the only spaced
+        token it has."""
+        for at in range(0, len(stems), 256):
+            some = stems[at : at + 256]
+            ids = self._plain(["".join(some)])[0]
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(some):
+                code, edges = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                for k, stem in enumerate(some):
+                    self.new[stem[1:]] = code[edges[k] : edges[k + 1]]
+            else:
+                for stem, own in zip(some, self._plain(some)):
+                    self.new[stem[1:]] = own.tobytes()
+
+    def _fill(self, missing: set[str]) -> None:
+        """Have all pieces but the odd ones, after which a space is no place to cut."""
+        new, old = self.new, self.old
+        again = missing & old.keys()
+        new.update(zip(again, map(old.__getitem__, again)))
+        missing -= again
+        self.long = self.long or max(map(len, missing), default=0) >= 64
+        stems, pointed, cut = set(), [], {}
+        for piece in missing:
+            if piece.isalpha():
+                stems.add(" " + piece)
+            elif piece[-1:] in (".", ",") and piece[:-1].isalpha() and piece[-2] < "\u0100":
+                pointed.append(piece)
+                if piece[:-1] not in new:
+                    stems.add(" " + piece[:-1])
+            elif piece and not _ODD_END.search(piece):
+                parts = cut[piece] = _IN_PIECE.split(" " + piece)
+                if parts[0][1:] not in new and _STEM.fullmatch(parts[0]):
+                    stems.add(parts[0])
+        self._learn(list(stems))
+        point = {x: self._other(x) for x in ".,"}
+        for piece in pointed:
+            new[piece] = new[piece[:-1]] + point[piece[-1]]
+        for piece, parts in cut.items():
+            if piece not in new:
+                head = new[parts[0][1:]] if parts[0][1:] in new else self._other(parts[0])
+                new[piece] = head + b"".join([self._other(x) for x in parts[1:]])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if any(s in t for s in self.special) else _CUT.split(t) if t else [] for t in texts]
-        have, old, missing = self.new, self.old, []
-        for piece in set().union(*cut):
-            if piece not in have:
-                if piece in old:
-                    have[piece] = old[piece]
-                else:
-                    missing.append(piece)
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                have[piece] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([have[p] for p in pieces]) for pieces in cut]
-        if len(have) > _CACHE:
-            self.old, self.new = {k: v for k, v in have.items() if len(k) < 64}, {}
+        cut = [t.split(" ") for t in texts]
+        heads = [c.pop(0) for c in cut]
+        self._fill(set().union(*cut) - self.new.keys())
+        get, out = self.new.__getitem__, []
+        for text, head, pieces in zip(texts, heads, cut):
+            if any(s in text for s in self.special):
+                out.append(self._plain([text])[0].tobytes())
+                continue
+            try:
+                if _ODD_END.search(head):
+                    raise KeyError(head)
+                out.append(self._other(head) + b"".join(map(get, pieces)))
+            except KeyError:  # an odd piece
+                out.append(b"".join([self._other(x) for x in _AT_SPACE.split(text)]))
+        if len(self.new) > _CACHE:
+            self.old = {k: v for k, v in self.new.items() if len(k) < 64} if self.long else self.new
+            self.new, self.long = {}, False
         return out
 
 
@@ -143,8 +214,8 @@ def _segments(path: str, end_id: int, segment_ids: int):
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for doc_id, code in zip(doc_ids[at : at + 256], encode(texts[at : at + 256])):
+            for at in range(0, len(texts), 1024):
+                for doc_id, code in zip(doc_ids[at : at + 1024], encode(texts[at : at + 1024])):
                     ids.append(doc_id)
                     parts.append(code + end)
                     held += len(parts[-1]) // 4
