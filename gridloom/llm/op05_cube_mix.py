@@ -33,7 +33,7 @@ from gridloom.llm.common import WORD, fresh, partitions, store, table, text_of
 #: Fixed by the contract.
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
-BLOCK = 20_000
+BLOCK = 2_000
 _NEAR = 1e-9
 
 
