@@ -80,20 +80,22 @@ def label_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
     rows = rows.withColumn("k", F.xxhash64("doc_id", "text_crc32", "size"))
     rows = store(rows, "shard-rows")
     total = rows.count()
-    linked = rows.groupBy("group").count().filter("count > 1").select(F.col("group").alias("g"), F.lit(True).alias("linked"))
+    # stored, here and below, so that the join can split the side of a large group
+    linked = store(rows.groupBy("group").count().filter("count > 1").select(F.col("group").alias("g"), F.lit(True).alias("linked")), "linked")
     state = rows.join(linked, F.col("group") == F.col("g"), "left").drop("g").withColumn("linked", F.coalesce("linked", F.lit(False)))
     state = store(_ranked(state.withColumn("all", F.lit(0)), "rank", ["all"], total).withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).drop("all", "rank"), "shards")
-    drop_stored(rows)
+    drop_stored(rows, linked)
     full: set[int] = set()
     for _ in range(rounds):
         held = state.filter("linked").groupBy("group", "shard").agg(F.count("*").alias("n"))
         choice = F.max(F.struct(F.col("n"), F.xxhash64("group", "shard").alias("h"), F.col("shard").alias("to")))
         best = held.filter(~F.col("shard").isin(*sorted(full))) if full else held
-        best = best.groupBy("group").agg(choice.alias("best")).select("group", F.col("best.to").alias("to"))
+        best = store(best.groupBy("group").agg(choice.alias("best")).select("group", F.col("best.to").alias("to")), "best")
         moving = state.filter("linked").join(best, "group", "left")
         stays = F.col("to").isNull() | (F.col("shard").isin(*sorted(full)) if full else F.lit(False))
         moving = moving.withColumn("want", F.when(stays, F.col("shard")).otherwise(F.col("to"))).drop("to")
         wanted = store(moving.unionByName(state.filter("not linked").withColumn("want", F.lit(None).cast("int"))), "wishes")
+        drop_stored(best)
         seen = wanted.groupBy("shard", "want").count().collect()  # at most shards * (shards + 1) rows
         fillers = [0] * shards
         wishes: dict[tuple[int, int], int] = {}
