@@ -142,7 +142,8 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     # bitwise_not turns the largest value into the smallest id, without overflow
     best = F.max(F.struct(F.col("n_chars"), F.col("doc_id").isNotNull().alias("has"), F.bitwise_not("doc_id").alias("id"), F.bitwise_not("rid").alias("row")))
     groups = every.groupBy("level", "name").agg(F.count("*").alias("n"), best.alias("best")).filter("n > 1")
-    groups = groups.select("level", "name", F.col("n").alias("size"), F.bitwise_not("best.id").alias("best_id"), F.bitwise_not("best.row").alias("best_row"))
+    # stored, so that the join below can split the side of a large group
+    groups = store(groups.select("level", "name", F.col("n").alias("size"), F.bitwise_not("best.id").alias("best_id"), F.bitwise_not("best.row").alias("best_row")), "groups")
     alone = F.col("size").isNull()
     return every.join(groups, ["level", "name"], "left").select(
         "doc_id",
