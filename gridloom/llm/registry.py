@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "op01_sentencepiece",
     "op03_skip_chain_crf",
+    "op04_toxicity_cnn",
     "op05_cube_mix",
     "op08_direct_codes",
     "op09_label_shards",
