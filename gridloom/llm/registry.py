@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "op01_sentencepiece",
+    "op02_suffix_tree",
     "op03_skip_chain_crf",
     "op04_toxicity_cnn",
     "op05_cube_mix",
