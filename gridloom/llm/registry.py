@@ -10,6 +10,7 @@ MODULES = [
     "op03_skip_chain_crf",
     "op04_toxicity_cnn",
     "op05_cube_mix",
+    "op06_chosen_path",
     "op07_ball_tree",
     "op08_direct_codes",
     "op09_label_shards",
