@@ -8,7 +8,8 @@ on average. Two sets share a path with probability q, the root of q = 1 - exp(-G
 least, if they reach the threshold, so runs are repeated until 1 - (1 - q)**runs is the target
 recall. Nodes of at most SMALL members are compared by brute force. In larger ones every member is
 compared with a pivot; those close to it are settled (whatever is similar to them is similar enough
-to the pivot to be linked to it as well), the others go on to the next level.
+to the pivot to be linked to it as well), the others go on to the next level. A node whose members
+are all in one component of the links found so far has nothing more to tell and is left out.
 
 Pairs whose min-hashes agree enough become links of candidate components. Within a component all
 pairs of texts are then compared exactly, by whole n-gram sets, in blocks: large components are cut
@@ -39,7 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_stored, fresh, partitions, small_batches, store, table, text_of
+from gridloom.llm.common import fresh, partitions, small_batches, store, table, text_of
+from gridloom.operators.graph import components
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -244,30 +246,9 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, root): the smallest id of each id's connected component, for ids that have a link.
-
-    ``links`` has columns id and to. Every round hangs the neighbours of a vertex on its smallest
-    neighbour, larger ones first, then the smaller ones (stars of stars), until nothing moves.
-    """
-    edges = links.filter("id <> to").select(F.greatest("id", "to").alias("u"), F.least("id", "to").alias("v")).distinct()
-    edges = store(edges, "links")
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = store(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().filter("u <> v")
-        large = store(large, "large")
-        low = store(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u")
-        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = store(after, "links")
-        moved = after.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(after, ["u", "v"], "left_anti").isEmpty()
-        drop_stored(edges, least, large, low)
-        edges = after
-        if moved:
-            break
-    roots = edges.select(F.col("v").alias("id")).distinct().withColumn("root", F.col("id"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
+def _components(links: DataFrame) -> DataFrame:
+    """(id, root): the smallest id of each id's connected component, for ids that have a link."""
+    return components(links.select(F.col("id").alias("src"), F.col("to").alias("dst"))).select(F.col("v").alias("id"), F.col("component").alias("root"))
 
 
 def _overlap(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
@@ -344,30 +325,31 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float
     n = partitions(spark)
     sigs = reps.select("id", "sig")
     rows = sigs.mapInArrow(_start(runs_for(recall, growth), threshold, growth), "node bigint, id bigint")
-    found = []
-    for level in range(depth):
-        rows = store(rows, "paths")
-        sizes = store(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"), "nodes")
-        big = not sizes.filter(F.col("n") > small).isEmpty()
-        last = level == depth - 1
+    links = None
+    for level in range(depth + 1):
+        if links is None:
+            rows = store(rows.withColumn("root", F.col("id")), "paths")
+        else:
+            # a node whose members are in one component has nothing more to tell
+            roots = store(_components(links), "roots")
+            links = roots.filter("id <> root").select("id", F.col("root").alias("to"))
+            rows = store(rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "paths")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("pivot"), F.min("root").alias("a"), F.max("root").alias("b"))
+        sizes = store(sizes.filter("a < b").select("node", "n", "pivot"), "nodes")
         met = rows.join(sizes, "node")
+        if level == depth:
+            # what no level has split: all of a node's rest is linked, and compared exactly later
+            return links.unionByName(met.filter("id <> pivot").select("id", F.col("pivot").alias("to")))
         few = met.filter(F.col("n") <= small).select("node", "id").join(sigs, "id").select("node", "id", "sig")
         few = few.repartition(n, "node").sortWithinPartitions("node", "id").mapInArrow(_brute, "id bigint, to bigint")
-        found.append(store(few.distinct(), "near"))
-        if not big:
-            break
+        near = store(few.distinct(), "near")
+        links = near if links is None else links.unionByName(near)
+        if sizes.filter(F.col("n") > small).isEmpty():
+            return links
         many = met.filter(F.col("n") > small).join(sigs, "id").join(sigs.select(F.col("id").alias("pivot"), F.col("sig").alias("other")), "pivot").select("node", "id", "sig", "pivot", "other")
         on = store(many.mapInArrow(_pivot(threshold, growth), "node bigint, id bigint, to bigint"), "pivots")
-        found.append(on.filter("to is not null").select("id", "to").distinct())
+        links = links.unionByName(on.filter("to is not null").select("id", "to").distinct())
         rows = on.filter("to is null").select("node", "id")
-        if last:
-            # what no level has split: all of a node's rest is linked, and compared exactly later
-            rest = rows.groupBy("node").agg(F.min("id").alias("to"))
-            found.append(rows.join(store(rest, "rest"), "node").select("id", "to"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, recall: float = RECALL, block: int = BLOCK, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
@@ -383,7 +365,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, r
     first = F.min(F.struct(F.col("rid").alias("id"), F.col("doc_id"), F.col("th"), F.col("sig")))
     reps = seen.filter("size > 0").groupBy("name").agg(first.alias("f"), F.count("*").alias("copies"), F.min("doc_id").alias("low"))
     reps = store(reps.select("name", "f.*", "copies", "low"), "reps")
-    comps = store(components(candidate_links(reps, threshold, recall, small=small, depth=depth)), "components")
+    comps = store(_components(candidate_links(reps, threshold, recall, small=small, depth=depth)), "components")
     # members with their blocks: a component of up to ``block`` members is one block
     sizes = store(comps.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     cut = F.ceil(F.col("n") / block).cast("int")
@@ -398,7 +380,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, r
     dealt = dealt.repartition(n, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "side", "id")
     exact = store(dealt.mapInArrow(_verify(threshold, ngram), "id bigint, to bigint, docs bigint, texts bigint"), "exact")
     links = exact.groupBy("id").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
-    classes = components(exact.select("id", "to"))
+    classes = _components(exact.select("id", "to"))
     known = reps.select("name", "id", "copies", "low", "doc_id").join(links, "id", "left").join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
     known = store(known, "known")
     of = store(known.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size")), "classes")
