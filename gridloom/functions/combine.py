@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +46,6 @@ def combiner(algorithm: str | Combiner) -> Combiner:
 
 def python_combiner(f: Callable[[float, float, float], float], on_error: str = "fail") -> Combiner:
     """A plain Python function of the three sums, called once for each output cell, in Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series, ab: pd.Series) -> pd.Series:
