@@ -52,17 +52,18 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     both = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("w"))
     now = store(both.filter("u <> w").distinct(), "edges")
     for _ in range(rounds):
+        n = 2 * now.count()
         # a forest of stars: every vertex hangs on one other, or others hang on it
         ends = now.select("u", F.lit(1).alias("k")).unionByName(now.select(F.col("w").alias("u")).distinct().withColumn("k", F.lit(0)))
         if ends.groupBy("u").agg(F.sum("k").alias("up"), F.count_if(F.col("k") == 0).alias("down")).filter("up + down > 1").isEmpty():
             break
         around = now.unionByName(now.select(F.col("w").alias("u"), F.col("u").alias("w")))
         # stored, so that the joins can split the side of a hub
-        least = store(around.groupBy("u").agg(F.min("w").alias("m")).withColumn("m", F.least("u", "m")), "least")
-        large = store(around.join(least, "u").filter("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).filter("u <> w").distinct(), "large")
-        low = store(large.groupBy("u").agg(F.min("w").alias("m")), "low")
+        least = store(around.groupBy("u").agg(F.min("w").alias("m")).withColumn("m", F.least("u", "m")), "least", n)
+        large = store(around.join(least, "u").filter("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).filter("u <> w").distinct(), "large", n)
+        low = store(large.groupBy("u").agg(F.min("w").alias("m")), "low", n)
         hung = large.join(low, "u")
-        after = store(hung.select(F.col("w").alias("u"), F.col("m").alias("w")).unionByName(hung.select("u", F.col("m").alias("w"))).filter("u <> w").distinct(), "edges")
+        after = store(hung.select(F.col("w").alias("u"), F.col("m").alias("w")).unionByName(hung.select("u", F.col("m").alias("w"))).filter("u <> w").distinct(), "edges", n)
         drop_stored(now, least, large, low)
         now = after
     else:

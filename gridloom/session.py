@@ -46,11 +46,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def few(df: DataFrame, rows: int, per: int = 100_000) -> DataFrame:
+    """``df`` in about one partition for ``per`` of its rows, if it has more; without a shuffle."""
+    return df.coalesce(max(8, -(-rows // per)))
+
+
+def store(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost
-    executor costs a re-read, not a recomputation."""
+    executor costs a re-read, not a recomputation. ``rows``, if known, keeps small tables in few
+    files."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    if rows is not None:
+        df = few(df, rows)
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._gridloom_path = path
