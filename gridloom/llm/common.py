@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.session import drop_stored, new_path, shared_dir, store  # noqa: F401
+from gridloom.session import drop_stored, few, new_path, shared_dir, store  # noqa: F401
 
 #: Fixed by the operators' contracts: the white space that separates words.
 SPACE = " \t\n\x0b\x0c\r"

@@ -6,10 +6,12 @@ representatives start in one node, and recursively each goes on into the childre
 by those of its min-hashes that a hash of (run, path, min-hash) selects, GROWTH / threshold of them
 on average. Two sets share a path with probability q, the root of q = 1 - exp(-GROWTH * q), at
 least, if they reach the threshold, so runs are repeated until 1 - (1 - q)**runs is the target
-recall. Nodes of at most SMALL members are compared by brute force. In larger ones every member is
+recall. What a node can still tell are links between different components of the links found so
+far. Where at most SMALL members stand outside the node's largest component, these are compared
+with all its members by brute force (so small nodes are done at once, and a node full of near
+copies costs its few strangers), in tasks of about SALT members. In other nodes every member is
 compared with a pivot; those close to it are settled (whatever is similar to them is similar enough
-to the pivot to be linked to it as well), the others go on to the next level. A node whose members
-are all in one component of the links found so far has nothing more to tell and is left out.
+to the pivot to be linked to it as well), the others go on to the next level.
 
 Pairs whose min-hashes agree enough become links of candidate components. Within a component all
 pairs of texts are then compared exactly, by whole n-gram sets, in blocks: large components are cut
@@ -40,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh, partitions, small_batches, store, table, text_of
+from gridloom.llm.common import few, fresh, partitions, small_batches, store, table, text_of
 from gridloom.operators.graph import components
 
 NGRAM = 5
@@ -48,8 +50,9 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 T = 64
 GROWTH = 2.0
-SMALL = 96
+SMALL = 1024
 DEPTH = 8
+SALT = 2048
 BLOCK = 256
 #: Shares of equal min-hashes (standard error 0.05 at the threshold) that make a pair a candidate,
 #: link a member to a pivot, and settle it there.
@@ -209,39 +212,44 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pd.DataFra
 
 
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, id, sig), sorted by node: spanning links of the candidates of each small node."""
-    for_out: list[np.ndarray] = []
+    """(node, salt, main, id, sig), sorted by node and salt: spanning links among the candidates of
+    each group, between members outside the largest component and all members."""
+    found: list[np.ndarray] = []
+    held: list = []
+
+    def close() -> None:
+        if len(held) < 2:
+            return
+        ids = np.array([r[1] for r in held], np.int64)
+        sig = np.frombuffer(b"".join([r[2] for r in held]), np.uint32).reshape(-1, T)
+        if len(ids) == 2:
+            if ids[0] != ids[1] and (sig[0] == sig[1]).mean() >= NEAR:
+                found.append(np.array([[max(ids), min(ids)]]))
+            return
+        order = np.argsort(ids, kind="stable")
+        ids, sig = ids[order], sig[order]
+        strange = np.flatnonzero(~np.array([r[0] for r in held])[order])
+        pairs = []
+        for i in strange:
+            near = np.flatnonzero((sig == sig[i]).sum(axis=1) >= NEAR * T)
+            pairs.append(np.stack([np.full(len(near), i), near], axis=1))
+        root = _roots(len(ids), np.concatenate([*pairs, np.zeros((0, 2), np.int64)]))
+        own = ids[root] != ids
+        found.append(np.stack([ids[own], ids[root[own]]], axis=1))
 
     def out() -> pa.RecordBatch:
-        flat = np.concatenate([*for_out, np.zeros((0, 2), np.int64)])
+        flat = np.concatenate([*found, np.zeros((0, 2), np.int64)])
+        found.clear()
         return pa.RecordBatch.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], names=["id", "to"])
 
-    held_node, held_ids, held_sig = None, [], []
-
-    def close() -> None:
-        if len(held_ids) > 1:
-            ids = np.array(held_ids, np.int64)
-            order = np.argsort(ids)
-            ids, sig = ids[order], np.frombuffer(b"".join(held_sig), np.uint32).reshape(-1, T)[order]
-            if len(ids) == 2:
-                if ids[0] != ids[1] and (sig[0] == sig[1]).mean() >= NEAR:
-                    for_out.append(np.array([[ids[1], ids[0]]]))
-                return
-            pairs = [np.stack([np.full(len(near), i), near + i + 1], axis=1) for i in range(len(ids) - 1) for near in [np.flatnonzero((sig[i + 1 :] == sig[i]).mean(axis=1) >= NEAR)] if len(near)]
-            if pairs:
-                root = _roots(len(ids), np.concatenate(pairs))
-                own = root != np.arange(len(ids))
-                for_out.append(np.stack([ids[own], ids[root[own]]], axis=1))
-
+    at = None
     for batch in batches:
-        for node, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if node != held_node:
+        for node, salt, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (node, salt) != at:
                 close()
-                held_node, held_ids, held_sig = node, [], []
-            held_ids.append(i)
-            held_sig.append(s)
+                at, held = (node, salt), []
+            held.append(row)
         yield out()
-        for_out.clear()
     close()
     yield out()
 
@@ -328,26 +336,38 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float
     links = None
     for level in range(depth + 1):
         if links is None:
-            rows = store(rows.withColumn("root", F.col("id")), "paths")
+            rows = store(rows, "paths")
+            held = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("pivot"))
+            sizes = held.filter("n > 1").select("node", "n", "pivot", F.col("pivot").alias("main"), F.lit(1).cast("bigint").alias("most"))
+            rows = rows.withColumn("root", F.col("id"))
         else:
-            # a node whose members are in one component has nothing more to tell
             roots = store(_components(links), "roots")
             links = roots.filter("id <> root").select("id", F.col("root").alias("to"))
-            rows = store(rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "paths")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("pivot"), F.min("root").alias("a"), F.max("root").alias("b"))
-        sizes = store(sizes.filter("a < b").select("node", "n", "pivot"), "nodes")
-        met = rows.join(sizes, "node")
+            rows = store(rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "paths", rows.count())
+            held = rows.groupBy("node", "root").agg(F.count("*").alias("c"), F.min("id").alias("low"))
+            held = held.groupBy("node").agg(F.sum("c").alias("n"), F.min("low").alias("pivot"), F.max(F.struct("c", "root")).alias("m"))
+            sizes = held.select("node", "n", "pivot", F.col("m.root").alias("main"), F.col("m.c").alias("most")).filter("most < n")
+        some = rows.count()
+        sizes = store(sizes, "nodes", some)
+        met = store(rows.join(sizes, "node"), "met", some)
         if level == depth:
             # what no level has split: all of a node's rest is linked, and compared exactly later
             return links.unionByName(met.filter("id <> pivot").select("id", F.col("pivot").alias("to")))
-        few = met.filter(F.col("n") <= small).select("node", "id").join(sigs, "id").select("node", "id", "sig")
-        few = few.repartition(n, "node").sortWithinPartitions("node", "id").mapInArrow(_brute, "id bigint, to bigint")
-        near = store(few.distinct(), "near")
+        strangers = F.col("n") - F.col("most")
+        salts = F.ceil(F.col("n") / SALT).cast("int")
+        main = F.col("root") == F.col("main")
+        mine = F.pmod(F.xxhash64("id"), salts).cast("int")
+        dealt = met.filter(strangers <= small).select("node", "id", main.alias("main"), F.explode(F.when(main, F.array(mine)).otherwise(F.sequence(F.lit(0), salts - 1))).alias("salt"))
+        dealt = dealt.join(sigs, "id").select("node", "salt", "main", "id", "sig")
+        near = dealt.repartition(n, "node", "salt").sortWithinPartitions("node", "salt")
+        near = store(few(near, 4 * met.count(), 20_000).mapInArrow(_brute, "id bigint, to bigint").distinct(), "near", some)
         links = near if links is None else links.unionByName(near)
-        if sizes.filter(F.col("n") > small).isEmpty():
+        many = met.filter(strangers > small)
+        count = many.count()
+        if not count:
             return links
-        many = met.filter(F.col("n") > small).join(sigs, "id").join(sigs.select(F.col("id").alias("pivot"), F.col("sig").alias("other")), "pivot").select("node", "id", "sig", "pivot", "other")
-        on = store(many.mapInArrow(_pivot(threshold, growth), "node bigint, id bigint, to bigint"), "pivots")
+        many = many.join(sigs, "id").join(sigs.select(F.col("id").alias("pivot"), F.col("sig").alias("other")), "pivot").select("node", "id", "sig", "pivot", "other")
+        on = store(few(many, count, 20_000).mapInArrow(_pivot(threshold, growth), "node bigint, id bigint, to bigint"), "pivots")
         links = links.unionByName(on.filter("to is not null").select("id", "to").distinct())
         rows = on.filter("to is null").select("node", "id")
 
