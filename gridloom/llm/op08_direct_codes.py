@@ -21,6 +21,7 @@ further columns are ignored. Text that looks like a special token is left to the
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -39,7 +40,8 @@ SEGMENT_IDS = 16_384
 _RANK_BITS = 512
 _LEVEL = "struct<chunks: binary, more: binary, ranks: binary>"
 SCHEMA = f"part int, seg bigint, start bigint, n bigint, doc_ids array<bigint>, doc_lens array<bigint>, levels array<{_LEVEL}>"
-_CACHE = 300_000
+_CACHE = 600_000
+_REST = 200_000
 #: What the tokenizer, or an older table of white space, might take for white space.
 _BLANK = r"\s\u180e\u200b\u2060\ufeff"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -49,6 +51,7 @@ _POINT = r""".,;:!?|#$%&*()"-"""
 _AT_SPACE = re.compile(f"(?<=[^{_BLANK}])(?= )")
 _IN_PIECE = re.compile(f"(?<=[{_LETTER}])(?=[{_POINT}])|(?<=[{_POINT}])(?=[{_LETTER}])|(?<=[^{_BLANK}])(?=\n)")
 _STEM = re.compile(f" [^{_BLANK}]+")
+_ODD_START = re.compile(f"[{_BLANK}]")
 _ODD_END = re.compile(f"[{_BLANK}]$")
 
 
@@ -78,11 +81,20 @@ class Encoder:
         if code is None:
             code = self._plain([piece])[0].tobytes() if piece else b""
             if len(piece) < 32:
-                if len(self.rest) > _CACHE:
+                if len(self.rest) > _REST:
                     self.rest.clear()
                 self.rest[piece] = code
         return code
 
+    def _others(self, pieces: list[str]) -> None:
+        if len(self.rest) > _REST:
+            self.rest.clear()
+        for at in range(0, len(pieces), 1024):
+            some = pieces[at : at + 1024]
+            for piece, ids in zip(some, self._plain(some)):
+                if len(piece) < 32:
+                    self.rest[piece] = ids.tobytes()
+
     def _learn(self, stems: list[str]) -> None:
         """Encode words that follow a space, many in one string: each begins with the only spaced
         token it has."""
@@ -105,10 +117,13 @@ class Encoder:
         new.update(zip(again, map(old.__getitem__, again)))
         missing -= again
         self.long = self.long or max(map(len, missing), default=0) >= 64
-        stems, pointed, cut = set(), [], {}
-        for piece in missing:
-            if piece.isalpha():
-                stems.add(" " + piece)
+        words = [p for p in missing if p.isalpha()]
+        stems, pointed, cut, lines = {" " + p for p in words}, [], {}, []
+        for piece in missing.difference(words):
+            if piece[:1] == "\n":
+                # begins a line and follows no space
+                if len(piece) == 1 or not (_ODD_START.match(piece, 1) or _ODD_END.search(piece)):
+                    lines.append(piece)
             elif piece[-1:] in (".", ",") and piece[:-1].isalpha() and piece[-2] < "\u0100":
                 pointed.append(piece)
                 if piece[:-1] not in new:
@@ -118,6 +133,13 @@ class Encoder:
                 if parts[0][1:] not in new and _STEM.fullmatch(parts[0]):
                     stems.add(parts[0])
         self._learn(list(stems))
+        first = {p[1:-1] if p[-1] in ".,-" and p[1:-1].isalpha() and p[-2] < "\u0100" else p[1:] for p in lines}
+        self._others([x for x in first if x not in self.rest])
+        line = self._other("\n")
+        for piece in lines:
+            word = piece[1:-1]
+            code = self._other(word) + self._other(piece[-1]) if word in first and piece[-1] in ".,-" and word.isalpha() and piece[-2] < "\u0100" else self._other(piece[1:])
+            new[piece] = line + code
         point = {x: self._other(x) for x in ".,"}
         for piece in pointed:
             new[piece] = new[piece[:-1]] + point[piece[-1]]
@@ -127,22 +149,38 @@ class Encoder:
                 new[piece] = head + b"".join([self._other(x) for x in parts[1:]])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        heads = [c.pop(0) for c in cut]
-        self._fill(set().union(*cut) - self.new.keys())
-        get, out = self.new.__getitem__, []
-        for text, head, pieces in zip(texts, heads, cut):
+        get, rows, missing = self.new.get, [], set()
+        for whole in texts:
+            text = whole
+            if "\n" in text:
+                if "\n\n" in text or " \n" in text or "\n " in text:
+                    rows.append((whole, None, None, None))
+                    continue
+                # a single line end is a word of its own, so a line can begin a piece
+                text = text.replace("\n", " \n")
+            pieces = text.split(" ")
+            codes = list(map(get, pieces))
+            codes[0] = b""  # follows no space
+            gaps = [i for i, c in enumerate(codes) if c is None]
+            missing.update([pieces[i] for i in gaps])
+            rows.append((whole, pieces, codes, gaps))
+        self._fill(missing)
+        new, out = self.new, []
+        for text, pieces, codes, gaps in rows:
             if any(s in text for s in self.special):
                 out.append(self._plain([text])[0].tobytes())
                 continue
             try:
-                if _ODD_END.search(head):
-                    raise KeyError(head)
-                out.append(self._other(head) + b"".join(map(get, pieces)))
+                if pieces is None or _ODD_END.search(pieces[0]):
+                    raise KeyError
+                codes[0] = self._other(pieces[0])
+                for i in gaps:
+                    codes[i] = new[pieces[i]]
+                out.append(b"".join(codes))
             except KeyError:  # an odd piece
                 out.append(b"".join([self._other(x) for x in _AT_SPACE.split(text)]))
-        if len(self.new) > _CACHE:
-            self.old = {k: v for k, v in self.new.items() if len(k) < 64} if self.long else self.new
+        if len(new) > _CACHE:
+            self.old = {k: v for k, v in new.items() if len(k) < 64} if self.long else new
             self.new, self.long = {}, False
         return out
 
@@ -203,6 +241,7 @@ def _segments(path: str, end_id: int, segment_ids: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seg, start = encoder(path), TaskContext.get().partitionId(), 0, 0
+        gc.disable()  # millions of short-lived lists and strings, none of them in a cycle
         ids: list[int | None] = []
         parts: list[bytes] = []
         held = 0
@@ -214,16 +253,16 @@ def _segments(path: str, end_id: int, segment_ids: int):
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 1024):
-                for doc_id, code in zip(doc_ids[at : at + 1024], encode(texts[at : at + 1024])):
-                    ids.append(doc_id)
-                    parts.append(code + end)
-                    held += len(parts[-1]) // 4
-                    if held >= segment_ids:
-                        yield segment()
-                        seg, start, held, ids, parts = seg + 1, start + held, 0, [], []
+            for doc_id, code in zip(doc_ids, encode(texts)):
+                ids.append(doc_id)
+                parts.append(code + end)
+                held += len(parts[-1]) // 4
+                if held >= segment_ids:
+                    yield segment()
+                    seg, start, held, ids, parts = seg + 1, start + held, 0, [], []
         if ids:
             yield segment()
+        gc.enable()
 
     return run
 

@@ -61,3 +61,10 @@ def test_codes_round_trip_and_random_access(ids):
 def test_pieces_encode_like_the_whole(text):
     e = m.encoder(PATH)
     assert np.frombuffer(e([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_and_lines_in_one_batch():
+    e = m.Encoder(PATH)
+    texts = ["a\nb c.\nD", "x <|endoftext|>\ny", "a \nb", "a\n\nb", "a\n", "\na b", "a\tb\n\tc", "q\n b c.\nD", "a b.\n, c"]
+    for _ in range(2):
+        assert [np.frombuffer(c, "<u4").tolist() for c in e(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
