@@ -53,7 +53,7 @@ GROWTH = 2.0
 SMALL = 1024
 DEPTH = 8
 SALT = 2048
-BLOCK = 256
+BLOCK = 128
 #: Shares of equal min-hashes (standard error 0.05 at the threshold) that make a pair a candidate,
 #: link a member to a pivot, and settle it there.
 NEAR, LINK, SETTLED = 0.55, 0.45, 0.85
@@ -75,7 +75,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _word_ids(text: bytes) -> np.ndarray:
     words = text.split()
-    if len(_words) > 400_000:
+    if len(_words) > 200_000:
         _words.clear()
     try:
         return np.array([_words[w] for w in words], np.uint64)
