@@ -36,7 +36,7 @@ from gridloom.llm.common import small_batches, table, text_of
 
 _MARK = "▁"
 _UNKNOWN_COST = 10.0
-_CACHE = 150_000
+_CACHE = 100_000
 _PLAIN = re.compile(r" *[^ \n]+| +|\n")
 
 

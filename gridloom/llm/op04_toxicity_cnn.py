@@ -20,6 +20,7 @@ table gives an empty result; further columns are ignored. Training is seeded: re
 
 from __future__ import annotations
 
+import gc
 import string
 import zlib
 from collections.abc import Iterator
@@ -41,7 +42,7 @@ FILTERS = 8
 STEPS = 1_200
 DROP = 0.3
 _STRIP = string.punctuation + "«»“”‘’¿¡…–—"
-_CACHE = 300_000
+_CACHE = 120_000
 _known: dict[str, int] = {}
 
 
@@ -226,6 +227,10 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> C
         if y[check][of].sum() >= 10:
             c.thresholds[name] = _cutoff(score[of], y[check][of])
     c.tables()
+    # the driver has little memory to spare, and is done with the sample
+    del got, words
+    _known.clear()
+    gc.collect()
     return c
 
 
