@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.threshold import between, threshold_judge
 from gridloom.grid import Grid, create_void, matrix
 from gridloom.operators import arith, belief, fourier, graph, memory, regions, sampling, stats, windows
-from gridloom.sources.signals import head, signal
+from gridloom.sources.signals import signal
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -254,10 +254,10 @@ def _complex(g: Grid) -> DataFrame:
     return g.df.select(*g.pick(*[(F.round(c, 5) + 0.0).alias(c) for c in ("re", "im")]))
 
 
-@_query("idft_roundtrip", f"WITH {_S1}, k AS (SELECT tid FROM s WHERE i0 = 31) SELECT tid, i0, round(v, 6) AS re, 0.0 AS im FROM s JOIN k USING (tid) WHERE i0 < 32")
+@_query("idft_roundtrip", f"WITH {_S2} SELECT tid, i0, i1, round(v, 6) + 0.0 AS re, 0.0 AS im FROM s")
 def _(spark, d):
-    g = fourier.idft(fourier.dft(head(_events(spark, d), 32)))
-    return g.df.select("tid", "i0", F.round("re", 6).alias("re"), (F.abs(F.round("im", 6)) + 0.0).alias("im"))
+    g = fourier.idft(fourier.dft(_vectors(spark, d), 1), 1, norm="axis")
+    return g.df.select(*g.pick((F.round("re", 6) + 0.0).alias("re"), (F.abs(F.round("im", 6)) + 0.0).alias("im")))
 
 
 @_query("dft_kernel", "SELECT CAST(0 AS BIGINT) AS tid, CAST(a AS INTEGER) AS i0, CAST(b AS INTEGER) AS i1, round(cos(2*pi()*(a*3/8.0 + b*2/6.0)), 6) + 0.0 AS re, round(sin(2*pi()*(a*3/8.0 + b*2/6.0)), 6) + 0.0 AS im FROM range(8) t(a), range(6) u(b)")
@@ -324,7 +324,7 @@ def _both(e: DataFrame) -> DataFrame:
 def _binds(spark: SparkSession, d: str) -> DataFrame:
     m = _moves(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"))
     n = m.groupBy("src").agg(F.sum("n").alias("all"))
-    rows = m.join(n, "src").select(F.col("dst").alias("outcome"), F.col("src").alias("condition"), (F.col("n") / F.col("all")).alias("p"), F.crc32(F.concat_ws("|", "src", "dst").cast("binary")).cast("bigint").alias("seq"))
+    rows = m.join(n, "src").select(F.col("dst").alias("outcome"), F.col("src").alias("condition"), (F.col("n") / F.col("all")).alias("p"), F.row_number().over(Window.orderBy("src", "dst")).cast("bigint").alias("seq"))  # pairs of event types, a handful
     return belief.bind(rows)
 
 
@@ -354,9 +354,13 @@ def _(spark, d):
     return x.join(y, "c").join(z, ["a", "b"]).select("a", "b", "c", F.round(F.col("pac") + F.col("pbc") - F.col("pab") * F.col("pbc"), 6).alias("p"))
 
 
-@_query("prob_bayes")
+@_query("prob_bayes", f"""WITH {_BINDS}, o AS (SELECT condition AS c, min(n) AS k FROM (SELECT condition, row_number() OVER (ORDER BY condition, outcome) AS n FROM b) GROUP BY condition),
+v AS (SELECT DISTINCT src AS v FROM e), t AS (SELECT ba.condition AS outcome, ba.outcome AS condition, arg_min(ba.p * ac.p / bc.p, k) AS p
+  FROM b ba JOIN b ac ON ac.outcome = ba.condition JOIN b bc ON bc.outcome = ba.outcome AND bc.condition = ac.condition JOIN o ON o.c = ac.condition
+  WHERE bc.p <> 0 AND ac.condition <> ba.condition AND ac.condition <> ba.outcome GROUP BY ALL)
+SELECT x.v AS outcome, y.v AS condition, round(t.p, 6) AS p FROM v x JOIN v y ON x.v <> y.v LEFT JOIN t ON t.outcome = x.v AND t.condition = y.v""")
 def _(spark, d):
-    return belief.bayes(_binds(spark, d), _all_pairs(spark, d).filter("outcome <> condition"))
+    return belief.bayes(_binds(spark, d), _all_pairs(spark, d).filter("outcome <> condition")).select("outcome", "condition", F.round("p", 6).alias("p"))
 
 
 _RULES = "e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
