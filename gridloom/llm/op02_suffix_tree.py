@@ -17,8 +17,9 @@ context at each word.
 
 At scale: word counts and the counts of rare words are shuffled and grow with the corpus. What is
 broadcast is bounded by parameters, whatever the corpus: at most 1/DICTIONARY words, 1/SYMBOL +
-CLASSES + 1 symbols, and MAX_RUNS candidate runs (SUPPORT is doubled until they fit). Words outside
-the dictionary are rare by its definition, so the join that fetches their counts has no hot key.
+CLASSES + 1 symbols, and about PASS_RUNS candidate runs with their prefixes. More candidates are
+counted in more passes over the text; SUPPORT stays. Words outside the dictionary are rare by its
+definition, so the join that fetches their counts has no hot key.
 
 Defined results: null text is empty text, which is one end; null and repeated doc_ids are documents
 like others (a null id counts as empty text in the hash); without training documents all counts
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +46,7 @@ DICTIONARY = 1e-6
 SYMBOL = 5e-5
 CLASSES = 4096
 SUPPORT = 5e-6
-MAX_RUNS = 2_000_000
+PASS_RUNS = 2_000_000
 DISCOUNT = 0.75
 DEPTH = 3
 ADD = 0.1
@@ -148,16 +150,18 @@ def _encode(vocab):
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray]:
-    held, n = [], 0
+    """Pieces of at least ``size`` symbols, if there are so many: a shorter rest goes with the piece before."""
+    ready, held, n = [], [], 0
     for batch in batches:
         for x in batch.column(0).to_pylist():
             held.append(np.frombuffer(x, "<i2"))
             n += len(held[-1])
             if n >= size:
-                yield np.concatenate(held)
-                held, n = [], 0
-    if held:
-        yield np.concatenate(held)
+                if ready:
+                    yield np.concatenate(ready)
+                ready, held, n = held, [], 0
+    if ready or held:
+        yield np.concatenate(ready + held)
 
 
 def _runs(s: np.ndarray, end: int, keep):
@@ -219,22 +223,25 @@ def frequent_runs(symbols: DataFrame, tokens: int, end: int, support: float = SU
     """Runs of 1 to DEPTH + 1 symbols with at least ``support`` of the tokens: sorted keys and
     exact counts, by length."""
     spark = symbols.sparkSession
-    while True:
-        parts = max(1, int(tokens * support / _CHUNK))
-        found = symbols.coalesce(parts).mapInArrow(_candidates(support, end), "k int, run bigint").distinct()
-        found = store(found, "runs")
-        if found.count() <= MAX_RUNS:
-            break
-        drop_stored(found)
-        support *= 2
-    sets = [np.zeros(0, np.int64)] * (DEPTH + 1)
-    got = found.toPandas()
-    for k in range(1, DEPTH + 2):
-        sets[k - 1] = np.sort(got.loc[got["k"] == k, "run"].to_numpy(np.int64))
+    parts = max(1, int(tokens * support / _CHUNK))
+    symbols = symbols.coalesce(parts)
+    found = store(symbols.mapInArrow(_candidates(support, end), "k int, run bigint").distinct(), "runs")
+    passes = max(1, -(-found.count() // PASS_RUNS))
+    frequent = []
+    for i in range(passes):
+        got = found.filter(F.pmod(F.xxhash64("k", "run"), F.lit(passes)) == i).toPandas()
+        mine = [np.sort(got.loc[got["k"] == k, "run"].to_numpy(np.int64)) for k in range(1, DEPTH + 2)]
+        sets = list(mine)
+        for k in range(DEPTH, 0, -1):  # a run is met by way of its prefixes
+            sets[k - 1] = np.union1d(sets[k - 1], sets[k] >> _BITS)
+        shared = spark.sparkContext.broadcast(sets)
+        counted = symbols.mapInArrow(_count_runs(shared, end), "k int, run bigint, n bigint")
+        counted = counted.groupBy("k", "run").agg(F.sum("n").alias("n")).filter(F.col("n") >= support * tokens).toPandas()
+        shared.unpersist()
+        # prefixes that are candidates of another pass are counted there
+        frequent += [counted[(counted["k"] == k) & counted["run"].isin(x)] for k, x in enumerate(mine, 1)]
     drop_stored(found)
-    shared = spark.sparkContext.broadcast(sets)  # at most MAX_RUNS keys
-    counted = symbols.coalesce(parts).mapInArrow(_count_runs(shared, end), "k int, run bigint, n bigint")
-    counted = counted.groupBy("k", "run").agg(F.sum("n").alias("n")).filter(F.col("n") >= support * tokens).toPandas()
+    counted = pd.concat(frequent)
     out = []
     for k in range(1, DEPTH + 2):
         part = counted[counted["k"] == k].sort_values("run")

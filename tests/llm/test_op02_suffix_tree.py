@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from gridloom.llm import op02_suffix_tree as m
 
@@ -110,3 +111,21 @@ def test_tree_is_a_distribution_and_scores_by_longest_context(spark):
                 own = {unkey(e, k + 1): s for e, s in zip(tree.entries[k - 1].tolist(), tree.shares[k - 1])}
                 q = np.array([own.get((*ctx, s), 0.0) + kept[ctx] * q[s] for s in range(end + 1)])
         assert np.allclose(p, q)
+
+
+def test_support_stays_with_more_candidates_than_a_pass_holds(spark, monkeypatch):
+    monkeypatch.setattr(m, "MAX_RUNS", 40, raising=False)
+    monkeypatch.setattr(m, "PASS_RUNS", 40, raising=False)
+    arrays, end = corpus()
+    df = spark.createDataFrame([(bytearray(np.array(a, "<i2").tobytes()),) for a in arrays], "symbols binary").repartition(3)
+    tokens = sum(map(len, arrays))
+    want = brute_runs(arrays, end, 0.001 * tokens)
+    assert sum(map(len, want)) > 40
+    for k, (keys, n) in enumerate(m.frequent_runs(df, tokens, end, 0.001), 1):
+        assert {unkey(x, k): c for x, c in zip(keys.tolist(), n.tolist())} == want[k - 1]
+
+
+def test_a_short_last_chunk_goes_with_the_one_before():
+    batch = pa.RecordBatch.from_arrays([pa.array([np.zeros(n, "<i2").tobytes() for n in (60, 50, 70, 40, 7)])], names=["symbols"])
+    assert [len(x) for x in m._chunks(iter([batch]), 100)] == [110, 117]
+    assert [len(x) for x in m._chunks(iter([batch.slice(4)]), 100)] == [7]
