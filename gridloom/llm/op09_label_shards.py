@@ -5,8 +5,12 @@ n*n/2). All rows start in shards of equal counts, in hash order. Then, in rounds
 document wants the shard where most of its group already is; a plan for the 16 x 16 matrix of
 wishes admits as many moves into a shard as documents leave it or unlinked ones can make room, and
 unlinked documents fill the places that fall free. So every round keeps the counts of the shards
-as they were, at most one apart (law ``rows``), and only lowers the number of cut links. A shard
-without unlinked documents left is full; what remains of a group looks for the next best shard.
+as they were, at most one apart (law ``rows``). When no wish can be met, shards without unlinked
+documents are full: what remains of a group looks for the next best shard, also from within a full
+one, if the group has no more rows there. A move goes from fewer rows of the group to as many or
+more, so the sum of squares rises and rounds need no limit: they end when no wish can be met. Then
+the groups that fit a shard unite once more, with the rows of larger ones as further fillers, and
+at last the larger ones gather again without touching them.
 
 At scale: no window or group is as large as a shard. Ranks come from counts by (shard, bucket)
 plus a rank within the bucket, with buckets of about BUCKET rows. The driver sees the matrix of
@@ -27,7 +31,6 @@ from gridloom.llm.common import drop_stored, store, table, text_of
 
 SHARDS = 16
 BUCKET = 5_000
-ROUNDS = 6
 
 
 def _ranked(df: DataFrame, name: str, by: list[str], rows: int) -> DataFrame:
@@ -68,7 +71,7 @@ def _quota(pairs: dict[tuple[int, int], int]) -> Column:
     return out
 
 
-def label_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def label_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, linked: one row a document."""
     raw = text_of("text")
     rows = docs.select(
@@ -81,21 +84,35 @@ def label_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
     rows = store(rows, "shard-rows")
     total = rows.count()
     # stored, here and below, so that the join can split the side of a large group
-    linked = store(rows.groupBy("group").count().filter("count > 1").select(F.col("group").alias("g"), F.lit(True).alias("linked")), "linked")
-    state = rows.join(linked, F.col("group") == F.col("g"), "left").drop("g").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    linked = store(rows.groupBy("group").count().filter("count > 1").select(F.col("group").alias("g"), F.lit(True).alias("linked"), (F.col("count") > -(-total // shards)).alias("big")), "linked")
+    state = rows.join(linked, F.col("group") == F.col("g"), "left").drop("g").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("linked", "big")})
     state = store(_ranked(state.withColumn("all", F.lit(0)), "rank", ["all"], total).withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).drop("all", "rank"), "shards")
     drop_stored(rows, linked)
-    full: set[int] = set()
-    for _ in range(rounds):
-        held = state.filter("linked").groupBy("group", "shard").agg(F.count("*").alias("n"))
+    large = state.filter("big").limit(1).count() > 0
+    state = _settle(state, shards, total, "linked", "not linked")
+    if large:
+        state = _settle(state, shards, total, "linked and not big", "not linked or big")
+        state = _settle(state, shards, total, "big", "not linked")
+    out = _ranked(state, "slot", ["shard"], total)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "linked")
+
+
+def _settle(state: DataFrame, shards: int, total: int, moves: str, fills: str) -> DataFrame:
+    """Rounds until no wish of the rows ``moves`` can be met; the rows ``fills`` make room."""
+    closing, stuck = False, 0
+    full: list[int] = []
+    while True:
+        held = store(state.filter(moves).groupBy("group", "shard").agg(F.count("*").alias("n")), "held")
         choice = F.max(F.struct(F.col("n"), F.xxhash64("group", "shard").alias("h"), F.col("shard").alias("to")))
-        best = held.filter(~F.col("shard").isin(*sorted(full))) if full else held
-        best = store(best.groupBy("group").agg(choice.alias("best")).select("group", F.col("best.to").alias("to")), "best")
-        moving = state.filter("linked").join(best, "group", "left")
-        stays = F.col("to").isNull() | (F.col("shard").isin(*sorted(full)) if full else F.lit(False))
-        moving = moving.withColumn("want", F.when(stays, F.col("shard")).otherwise(F.col("to"))).drop("to")
-        wanted = store(moving.unionByName(state.filter("not linked").withColumn("want", F.lit(None).cast("int"))), "wishes")
-        drop_stored(best)
+        best = held.filter(~F.col("shard").isin(*full)) if full else held
+        best = best.groupBy("group").agg(choice.alias("best"))
+        # one row for each group and shard: where its rows there want to go
+        goal = held.join(best, "group", "left").select("group", "shard", F.when(F.col("best.n") >= F.col("n"), F.col("best.to")).otherwise(F.col("shard")).alias("want"))
+        goal = store(goal, "goals")
+        moving = state.filter(moves).join(goal, ["group", "shard"]).select(*state.columns, "want")
+        others = state.filter(f"not ({moves})").withColumn("want", F.when(F.expr(fills), F.lit(None).cast("int")).otherwise(F.col("shard")))
+        wanted = store(moving.unionByName(others), "wishes")
+        drop_stored(held, goal)
         seen = wanted.groupBy("shard", "want").count().collect()  # at most shards * (shards + 1) rows
         fillers = [0] * shards
         wishes: dict[tuple[int, int], int] = {}
@@ -107,11 +124,16 @@ def label_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
         pairs = _admit(wishes, fillers)
         if not pairs:
             drop_stored(wanted)
-            newly = {j for j in range(shards) if not fillers[j]} - full
-            if wishes and newly:
-                full |= newly
-                continue
-            break
+            stuck += 1
+            # neither with all shards open nor with the full ones closed
+            if stuck == 2 or not (wishes or closing):
+                return state
+            closing = not closing
+            full = [j for j in range(shards) if closing and not fillers[j]]
+            if closing and not full:
+                return state
+            continue
+        stuck = 0
         moved = wanted.filter("want <> shard")
         if any(pairs.get(p, 0) < v for p, v in wishes.items()):
             moved = _ranked(moved, "_at", ["shard", "want"], total).withColumn("want", F.when(F.col("_at") < _quota(pairs), F.col("want")).otherwise(F.col("shard"))).drop("_at")
@@ -123,9 +145,7 @@ def label_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
         after = wanted.filter("want = shard").unionByName(moved).unionByName(free)
         old, state = state, store(after.withColumn("shard", F.col("want")).drop("want"), "shards")
         drop_stored(old, wanted)
-        full |= {j for j in range(shards) if fillers[j] == net[j]}
-    out = _ranked(state, "slot", ["shard"], total)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "linked")
+        full = [j for j in range(shards) if closing and fillers[j] == net[j]]
 
 
 def _fill(free: DataFrame, net: list[int], total: int) -> DataFrame:

@@ -41,3 +41,12 @@ def test_group_larger_than_a_shard(spark):
 def test_odd_rows(odd, empty):
     check(m.label_shards(odd, 4).collect(), [r.asDict() for r in odd.collect()], 4)
     assert m.label_shards(empty).count() == 0
+
+
+def test_small_groups_unite_beside_a_group_larger_than_a_shard(spark):
+    docs = [{"doc_id": i, "text": "same text" if i % 3 == 0 else f"pair {i // 6}" if i % 3 == 1 else f"text {i}"} for i in range(3000)]
+    rows = m.label_shards(spark.createDataFrame(docs, "doc_id bigint, text string"), 16).collect()
+    check(rows, docs, 16)
+    hot = zlib.crc32(b"same text")
+    assert cut([r for r in rows if r["text_crc32"] != hot]) == 0
+    assert len({r["shard"] for r in rows if r["text_crc32"] == hot}) <= 9
