@@ -4,8 +4,8 @@ Base spans are the leftmost non-overlapping matches of four patterns, checked af
 an address, Luhn sum, number of digits). They stay. The field looks at the other stretches of a
 document that could be such data, numbers and spelled-out addresses, together with the base spans:
 its nodes are these stretches in order, with the labels none, email, ip, card, phone; neighbours
-share a chain potential, and stretches with the same address or the same last digits, however far
-apart, share a skip potential. Loopy belief propagation over the whole document makes their labels
+share a chain potential, and stretches with the same address, the same four parts of an IP address
+or the same digits (the last nine of longer numbers), however far apart, share a skip potential. Loopy belief propagation over the whole document makes their labels
 agree: a number without its "+", or a card with other separators, takes the label of the base span
 it repeats. A stretch that repeats no base span keeps the label none.
 
@@ -43,7 +43,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"\(?[0-9](?:(?:[-./_]|\) ?| \(?)?[0-9])+")
-_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?\[at\] ?| ?\(at\) ?| at )[A-Za-z0-9-]{1,64}+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z0-9-]{1,64}+){1,8}", re.IGNORECASE)
+_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?\[at\] ?| ?\(at\) ?| at )[A-Za-z0-9-]++(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z0-9-]++)+", re.IGNORECASE)
+_SEPARATOR = re.compile("[-./_ ]")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 
@@ -116,14 +117,19 @@ def _features(text: str, start: int, end: int) -> list[int]:
     return on + [27 + k for k, f in enumerate(flags) if f]
 
 
-def _likeness(text: str, start: int, end: int) -> str | None:
-    """Stretches with the same key are linked."""
+def _likeness(text: str, start: int, end: int) -> list[str]:
+    """Stretches that share a key are linked."""
     piece = text[start:end].lower()
     if re.search("[a-z]", piece):
         piece = re.sub(r" ?[\[(]at[\])] ?| at ", "@", piece)
-        return "a" + re.sub(r" ?[\[(]dot[\])] ?| dot ", ".", piece)
+        return ["a" + re.sub(r" ?[\[(]dot[\])] ?| dot ", ".", piece)]
+    keys = []
+    parts = [p.lstrip("0") or "0" for p in _SEPARATOR.split(piece)]
+    if len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts):
+        keys.append("i" + ".".join(parts))
     digits = _NOT_DIGIT.sub("", piece)
-    return "d" + digits[-9:] if len(digits) >= 9 else None
+    # few digits of an address are no number
+    return [*keys, "d" + digits[-9:]] if len(digits) >= (9 if keys and "." in piece else 7) else keys
 
 
 class Graph:
@@ -147,8 +153,7 @@ class Graph:
         self.chain = [(i, i + 1) for i in range(len(nodes) - 1)]
         alike: dict[str, list[int]] = {}
         for i, (a, b, _) in enumerate(nodes):
-            key = _likeness(text, a, b)
-            if key is not None:
+            for key in _likeness(text, a, b):
                 alike.setdefault(key, []).append(i)
         # stretches that repeat no base span have nothing to agree with but each other
         self.skip = [e for same in alike.values() if any(nodes[i][2] > 0 for i in same) for e in zip(same, same[1:])]

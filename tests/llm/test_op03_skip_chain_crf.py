@@ -74,3 +74,19 @@ def test_odd_rows(odd, empty):
     assert len(rows) == odd.count()
     assert {s["kind"] for r in rows if r["doc_id"] == 7 for s in r["base"]} >= {"email", "phone", "ip"}
     assert m.find(empty, m.train(empty)).count() == 0
+
+
+def test_short_numbers_and_long_addresses_are_linked(documents):
+    field = m.train(documents)
+    name, host = "n" * 70, "h" * 70
+    hit = {
+        "call +1234 5678 now, or later 1234 5678 again": (3, "1234 5678"),
+        "from 10.1.2.34 and once more 10-1-2-34 there": (1, "10-1-2-34"),
+        f"write to {name}@{host}.org, that is {name} at {host} dot org, please": (0, f"{name} at {host} dot org"),
+    }
+    for text, (kind, piece) in hit.items():
+        base = m.base_spans(text)
+        assert len(base) == 1, text
+        a = text.rindex(piece)
+        assert (a, a + len(piece)) in [m.Graph(text, base).nodes[i][:2] for e in m.Graph(text, base).skip for i in e], text
+        assert field.added(text, base) == [(kind, a, a + len(piece))], text
