@@ -47,3 +47,27 @@ def fresh(docs: DataFrame, *stems: str) -> list[str]:
             stem = "_" + stem
         out.append(stem)
     return out
+
+
+#: Keys of dropped or repeated rows up to this number are broadcast; beyond it the rows are shuffled.
+MAX_BROADCAST_KEYS = 200_000
+
+
+def once_each(docs: DataFrame, key: Column, found: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in ``found`` (key, first) and never ``first`` there;
+    of rows that share a key that is, one stays. Keys not in ``found`` are left alone. Only rows with
+    a key of several rows are grouped, after a partial aggregate in each task, so a key that a share
+    of the rows has is no single task."""
+    name, one = fresh(docs, "gl_key", "gl_row")
+    keys = store(found.groupBy(F.col("key").alias(name)).agg(F.max("first").alias("stays"), F.count("*").alias("rows")).filter("not stays or rows > 1"), "keys")
+    n = keys.count()
+    if not n:
+        return docs
+    keyed = docs.withColumn(name, key)
+    side = lambda of: F.broadcast(of) if n <= MAX_BROADCAST_KEYS else of
+    same = lambda of: keyed[name] == of[name]
+    rest = keyed.join(side(keys), same(keys), "left_anti").select(*docs.columns)
+    again = keys.filter("stays").select(name)
+    some = keyed.join(side(again), same(again), "left_semi")
+    some = some.groupBy(name).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(one))
+    return rest.unionByName(some.select(f"{one}.*"))

@@ -6,21 +6,30 @@ representatives start in one node, and recursively each goes on into the childre
 by those of its min-hashes that a hash of (run, path, min-hash) selects, GROWTH / threshold of them
 on average. Two sets share a path with probability q, the root of q = 1 - exp(-GROWTH * q), at
 least, if they reach the threshold, so runs are repeated until 1 - (1 - q)**runs is the target
-recall. What a node can still tell are links between different components of the links found so
-far. Where at most SMALL members stand outside the node's largest component, these are compared
-with all its members by brute force (so small nodes are done at once, and a node full of near
-copies costs its few strangers), in tasks of about SALT members. In other nodes every member is
-compared with a pivot; those close to it are settled (whatever is similar to them is similar enough
-to the pivot to be linked to it as well), the others go on to the next level.
-
-Pairs whose min-hashes agree enough become links of candidate components. Within a component all
-pairs of texts are then compared exactly, by whole n-gram sets, in blocks: large components are cut
-into blocks of BLOCK members and each pair of blocks is a task. Only counts of links and spanning
-links leave a task, never all pairs, and classes are the connected components of the exact links.
+recall. What a node can still tell
+are links between different components of the links found so far. Where at most SMALL members stand
+outside the node's largest component, these are compared with all its members by brute force, in
+tasks of about SALT members. In other nodes every member is first compared with a pivot, once for
+each pair of member and pivot however many nodes have it; members settled there (whatever is similar
+to them is similar enough to the pivot to be linked to it as well) leave. Then the same node is
+looked at again, and only if it still has more than SMALL strangers do its members go on into its
+children. So a group of near copies costs a few links a member: it becomes one component in the
+first node that it fills, and never descends.
+
+Pairs whose min-hashes agree enough become links of candidate components. Components of up to BLOCK
+texts are compared exactly, all pairs of whole n-gram sets, in one task. In larger ones each text is
+shipped once and turned into its difference from a centre, the n-grams that most of a piece of the
+component have: with X, Y the differences, |A & B| = |P| - |P - A| - |P - B| + |X & Y|, exactly.
+Texts at a Jaccard distance of at most half of what the threshold allows from the centre (the core)
+are all linked to one another by the triangle inequality and need no comparison, and texts too far
+from it are linked to none of the core; all other pairs are compared by their differences in blocks
+of about WIDE members or WIDE_BYTES. Only counts of links and spanning links leave a task, never
+pairs, and classes are the connected components of the exact links.
 
 At scale: n-grams and texts are shuffled for members of candidate components only. Groups are
 pre-aggregated; the joins that meet a hot node or component have a stored other side, so adaptive
-execution can split them. Nothing is collected.
+execution can split them. Nothing is collected. What stays quadratic are the links of a component's
+n members outside its core: their differences go to n / WIDE tasks each.
 
 Defined results: a text of fewer than n words has one n-gram, all its words; a text without words
 (null included) has no n-gram and links to nothing, not even to its like; a document's links are
@@ -39,10 +48,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import few, fresh, partitions, small_batches, store, table, text_of
+from gridloom.llm.common import drop_stored, few, fresh, once_each, partitions, small_batches, store, table, text_of
 from gridloom.operators.graph import components
 
 NGRAM = 5
@@ -54,6 +63,11 @@ SMALL = 1024
 DEPTH = 8
 SALT = 2048
 BLOCK = 128
+#: Of components above BLOCK: texts in the piece that gives the centre and in a piece of one task,
+#: members and bytes of differences in a block.
+PIECE = 512
+WIDE = 1024
+WIDE_BYTES = 8 << 20
 #: Shares of equal min-hashes (standard error 0.05 at the threshold) that make a pair a candidate,
 #: link a member to a pivot, and settle it there.
 NEAR, LINK, SETTLED = 0.55, 0.45, 0.85
@@ -155,21 +169,22 @@ def _start(runs: int, threshold: float, growth: float):
     return run
 
 
-def _pivot(threshold: float, growth: float):
-    """(node, id, sig, pivot, pivot's sig): links to pivots, and the children of what is left."""
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, sig, pivot, pivot's sig) to (id, pivot, share of equal min-hashes)."""
+    for batch in batches:
+        sig, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, T) for k in (1, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array((sig == other).mean(axis=1))], names=["id", "pivot", "alike"])
+
+
+def _descend(threshold: float, growth: float):
+    """(node, id, sig) to the children (node, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, ids, pivots = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
-            sig, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, T) for k in (2, 4))
-            alike = (sig == other).mean(axis=1)
-            link = (alike >= LINK) & (ids != pivots)
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(link.sum()), pa.int64()), pa.array(ids[link]), pa.array(pivots[link])], names=["node", "id", "to"])
-            on = np.flatnonzero((alike < SETTLED) & (ids != pivots))
-            rows, names = _children(node[on].view(np.uint64), sig[on], threshold, growth)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(ids[on][rows]), pa.nulls(len(rows), pa.int64())], names=["node", "id", "to"])
+            node, ids = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, T)
+            rows, names = _children(node, sig, threshold, growth)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(ids[rows])], names=["node", "id"])
 
     return run
 
@@ -286,40 +301,136 @@ def _overlap(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
     return out
 
 
+_EXACT = pa.schema([("id", pa.int64()), ("to", pa.int64()), ("docs", pa.int64()), ("texts", pa.int64())])
+_EXACT_SQL = "id bigint, to bigint, docs bigint, texts bigint"
+
+
+def _linked(ids: list[np.ndarray], copies: list[np.ndarray], hit: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of links and spanning links from the matrix of links within a block, or between two."""
+    if len(ids) == 1:
+        found, every, pairs = [(hit @ copies[0], hit.sum(axis=1))], ids[0], np.argwhere(np.triu(hit))
+    else:
+        found = [(hit @ copies[1], hit.sum(axis=1)), (hit.T @ copies[0], hit.sum(axis=0))]
+        every, pairs = np.concatenate(ids), np.argwhere(hit) + [0, len(ids[0])]
+    root = every[_roots(len(every), pairs)]
+    docs, texts = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1))
+    own = texts > 0
+    yield pa.RecordBatch.from_arrays([pa.array(every[own]), pa.array(root[own]), pa.array(docs[own]), pa.array(texts[own])], schema=_EXACT)
+
+
 def _verify(threshold: float, n: int):
-    """(comp, bi, bj, side, id, copies, text), sorted: exact links within a block, or between two."""
-    shape = pa.schema([("id", pa.int64()), ("to", pa.int64()), ("docs", pa.int64()), ("texts", pa.int64())])
+    """(comp, id, copies, text), sorted: exact links within each small component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, 1):
+            g = g.drop_duplicates("id")
+            sets = [shingles(t, n) for t in g["text"]]
+            size = np.array([len(s) for s in sets], float)
+            o = _overlap(sets, None)
+            hit = o >= threshold * (size[:, None] + size[None] - o) - 1e-9
+            np.fill_diagonal(hit, False)
+            yield from _linked([g["id"].to_numpy(np.int64)], [g["copies"].to_numpy(np.int64)], hit)
+
+    return run
+
+
+def _centre(n: int):
+    """(comp, id, text), sorted: the n-grams that more than half of a component's texts here have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, 1):
+            texts = g.drop_duplicates("id")["text"]
+            grams, count = np.unique(np.concatenate([shingles(t, n) for t in texts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([int(g.iloc[0, 0])], pa.int64()), pa.array([grams[2 * count > len(texts)].tobytes()], pa.binary())], names=["comp", "body"])
+
+    return run
+
+
+def _differences(threshold: float, n: int):
+    """(comp, piece, kind, id, copies, body), sorted: the centre's n-grams (kind 0), then texts, each
+    to its difference from the centre and its zone: far 0, middle 1, core 2."""
+    slack = 1 - threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, last = np.zeros(0, np.uint64), None
+        for batch in batches:
+            out: list[tuple] = []
+            for comp, kind, key, copies, body in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5))):
+                if kind == 0:
+                    centre = np.frombuffer(body, np.uint64)
+                elif key != last:
+                    own = shingles(body, n)
+                    diff = np.setxor1d(own, centre, assume_unique=True)
+                    both = (len(own) + len(centre) - len(diff)) // 2
+                    far = 1 - both / (len(own) + len(centre) - both)
+                    zone = 2 if far <= slack / 2 - 1e-9 else 1 if far <= 1.5 * slack + 1e-9 else 0
+                    out.append((comp, key, copies, len(own), len(centre) - both, len(centre), zone, 8 * len(diff), diff.tobytes()))
+                last = key
+            cols = list(zip(*out)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:8]), pa.array(cols[8], pa.binary())], names=["comp", "id", "copies", "size", "gone", "base", "zone", "bytes", "diff"])
+
+    return run
+
+
+_DIFFERENCES = "comp bigint, id bigint, copies bigint, size bigint, gone bigint, base bigint, zone bigint, bytes bigint, diff binary"
+
+
+def _verify_blocks(threshold: float):
+    """(comp, bi, bj, side, id, copies, size, gone, base, diff), sorted: exact links within a block,
+    or between two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, 3):
-            g = g.drop_duplicates(["side", "id"])
-            parts = [g[g["side"] == s] for s in (0, 1)]
-            ids = [p["id"].to_numpy(np.int64) for p in parts]
-            copies = [p["copies"].to_numpy(np.int64) for p in parts]
-            sets = [[shingles(t, n) for t in p["text"]] for p in parts]
-            size = [np.array([len(s) for s in x], float) for x in sets]
-            if g.iloc[0, 1] == g.iloc[0, 2]:
-                o = _overlap(sets[0], None)
-                hit = o >= threshold * (size[0][:, None] + size[0][None] - o) - 1e-9
-                np.fill_diagonal(hit, False)
-                found = [(ids[0], hit @ copies[0], hit.sum(axis=1))]
-                every, pairs = ids[0], np.argwhere(np.triu(hit))
-            elif len(ids[0]) and len(ids[1]):
-                o = _overlap(sets[0], sets[1])
-                hit = o >= threshold * (size[0][:, None] + size[1][None] - o) - 1e-9
-                found = [(ids[0], hit @ copies[1], hit.sum(axis=1)), (ids[1], hit.T @ copies[0], hit.sum(axis=0))]
-                every, pairs = np.concatenate(ids), np.argwhere(hit) + [0, len(ids[0])]
-            else:
+            same = g.iloc[0, 1] == g.iloc[0, 2]
+            parts = [g] if same else [g[g["side"] == s] for s in (0, 1)]
+            if not all(len(p) for p in parts):
                 continue
-            root = every[_roots(len(every), pairs)]
-            at = 0
-            for who, docs, texts in found:
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(root[at : at + len(who)]), pa.array(docs.astype(np.int64)), pa.array(texts.astype(np.int64))], schema=shape)
-                at += len(who)
+            sets = [[np.frombuffer(d, np.uint64) for d in p["diff"]] for p in parts]
+            size, gone = ([p[c].to_numpy(float) for p in parts] for c in ("size", "gone"))
+            o = _overlap(sets[0], None if same else sets[1]) + float(g["base"].iloc[0]) - gone[0][:, None] - gone[-1][None]
+            hit = o >= threshold * (size[0][:, None] + size[-1][None] - o) - 1e-9
+            if same:
+                np.fill_diagonal(hit, False)
+            yield from _linked([p["id"].to_numpy(np.int64) for p in parts], [p["copies"].to_numpy(np.int64) for p in parts], hit)
 
     return run
 
 
+def _large_links(spark: SparkSession, whole: DataFrame, threshold: float, ngram: int, wide: int) -> DataFrame:
+    """Exact links of the components above BLOCK: (comp, n, id, copies, text)."""
+    n = partitions(spark)
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    whole = store(whole.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")), "large")
+    first = whole.filter("piece = 0").select("comp", "pieces", "id", "text")
+    centres = first.select("comp", "id", "text").repartition(n, "comp").sortWithinPartitions("comp", "id").mapInArrow(_centre(ngram), "comp bigint, body binary")
+    counts = whole.groupBy("comp").agg(F.max("pieces").alias("pieces"))
+    # a piece without a centre's row (its piece 0 is empty) has an empty centre
+    heads = store(counts.join(centres, "comp", "left"), "centres")
+    null = F.lit(None).cast("bigint")
+    heads = heads.select("comp", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("kind"), null.alias("id"), null.alias("copies"), F.coalesce("body", F.lit(b"")).alias("body"))
+    rows = heads.unionByName(whole.select("comp", "piece", F.lit(1).alias("kind"), "id", "copies", F.col("text").alias("body")))
+    rows = rows.repartition(n, "comp", "piece").sortWithinPartitions("comp", "piece", "kind", "id")
+    diffs = store(rows.mapInArrow(_differences(threshold, ngram), _DIFFERENCES), "differences")
+    zone = F.col("zone")
+    blocks = [F.greatest(F.ceil(F.count_if(zone == z) / wide), F.ceil(F.sum(F.when(zone == z, F.col("bytes")).otherwise(0)) / WIDE_BYTES)).cast("int").alias(f"b{z}") for z in (0, 1, 2)]
+    core = F.when(zone == 2, F.col("copies"))
+    zones = diffs.groupBy("comp").agg(*blocks, F.sum(core).alias("core_docs"), F.count(core).alias("core_texts"), F.min(F.when(zone == 2, F.col("id"))).alias("core_low"))
+    dealt = diffs.join(store(zones, "zones"), "comp")
+    inner = dealt.filter((zone == 2) & (F.col("core_texts") > 1))
+    inner = inner.select("id", F.col("core_low").alias("to"), (F.col("core_docs") - F.col("copies")).alias("docs"), (F.col("core_texts") - 1).alias("texts"))
+    far, near = F.col("b0"), F.col("b0") + F.col("b1")
+    mine = F.when(zone == 0, F.pmod(F.xxhash64("id"), far)).when(zone == 1, far + F.pmod(F.xxhash64("id"), F.col("b1"))).otherwise(near + F.pmod(F.xxhash64("id"), F.col("b2"))).cast("int")
+    low = F.when(zone == 2, far).otherwise(F.lit(0))
+    high = F.when(zone == 1, near + F.col("b2")).otherwise(near)
+    others = F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = F.transform(others, lambda o: F.struct(F.least("mine", o).alias("bi"), F.greatest("mine", o).alias("bj"), (F.col("mine") > o).cast("int").alias("side")))
+    dealt = dealt.withColumn("mine", mine).withColumn("p", F.explode(pairs)).select("comp", "p.bi", "p.bj", "p.side", "id", "copies", "size", "gone", "base", "diff")
+    dealt = dealt.repartition(n, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "side", "id")
+    out = store(inner.unionByName(dealt.mapInArrow(_verify_blocks(threshold), _EXACT_SQL)), "exact")
+    drop_stored(whole, diffs)
+    return out
+
+
 def runs_for(recall: float, growth: float = GROWTH) -> int:
     q = 0.5
     for _ in range(200):
@@ -332,25 +443,26 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float
     spark = reps.sparkSession
     n = partitions(spark)
     sigs = reps.select("id", "sig")
-    rows = sigs.mapInArrow(_start(runs_for(recall, growth), threshold, growth), "node bigint, id bigint")
+    rows = store(sigs.mapInArrow(_start(runs_for(recall, growth), threshold, growth), "node bigint, id bigint"), "paths")
     links = None
-    for level in range(depth + 1):
+    for step in range(2 * depth + 1):
+        # even steps see new nodes, odd ones the same nodes after the comparison with their pivots
+        some = rows.count()
         if links is None:
-            rows = store(rows, "paths")
+            rooted = rows.withColumn("root", F.col("id"))
             held = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("pivot"))
             sizes = held.filter("n > 1").select("node", "n", "pivot", F.col("pivot").alias("main"), F.lit(1).cast("bigint").alias("most"))
-            rows = rows.withColumn("root", F.col("id"))
         else:
             roots = store(_components(links), "roots")
             links = roots.filter("id <> root").select("id", F.col("root").alias("to"))
-            rows = store(rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "paths", rows.count())
-            held = rows.groupBy("node", "root").agg(F.count("*").alias("c"), F.min("id").alias("low"))
+            rooted = store(rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted", some)
+            held = rooted.groupBy("node", "root").agg(F.count("*").alias("c"), F.min("id").alias("low"))
             held = held.groupBy("node").agg(F.sum("c").alias("n"), F.min("low").alias("pivot"), F.max(F.struct("c", "root")).alias("m"))
             sizes = held.select("node", "n", "pivot", F.col("m.root").alias("main"), F.col("m.c").alias("most")).filter("most < n")
-        some = rows.count()
         sizes = store(sizes, "nodes", some)
-        met = store(rows.join(sizes, "node"), "met", some)
-        if level == depth:
+        met = store(rooted.join(sizes, "node"), "met", some)
+        drop_stored(rows, rooted, sizes)
+        if step == 2 * depth:
             # what no level has split: all of a node's rest is linked, and compared exactly later
             return links.unionByName(met.filter("id <> pivot").select("id", F.col("pivot").alias("to")))
         strangers = F.col("n") - F.col("most")
@@ -365,14 +477,22 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float
         many = met.filter(strangers > small)
         count = many.count()
         if not count:
+            drop_stored(met)
             return links
-        many = many.join(sigs, "id").join(sigs.select(F.col("id").alias("pivot"), F.col("sig").alias("other")), "pivot").select("node", "id", "sig", "pivot", "other")
-        on = store(few(many, count, 20_000).mapInArrow(_pivot(threshold, growth), "node bigint, id bigint, to bigint"), "pivots")
-        links = links.unionByName(on.filter("to is not null").select("id", "to").distinct())
-        rows = on.filter("to is null").select("node", "id")
+        if step % 2 == 0:
+            # each pair of member and pivot once, whatever the number of nodes that have it
+            pairs = many.filter("id <> pivot").select("id", "pivot").distinct()
+            pairs = pairs.join(sigs, "id").join(sigs.select(F.col("id").alias("pivot"), F.col("sig").alias("other")), "pivot").select("id", "sig", "pivot", "other")
+            alike = store(few(pairs, count, 20_000).mapInArrow(_alike, "id bigint, pivot bigint, alike double"), "pivots")
+            links = links.unionByName(alike.filter(F.col("alike") >= LINK).select("id", F.col("pivot").alias("to")))
+            rows = many.join(alike.filter(F.col("alike") < SETTLED).select("id", "pivot"), ["id", "pivot"]).select("node", "id")
+        else:
+            rows = few(many.join(sigs, "id").select("node", "id", "sig"), count, 20_000).mapInArrow(_descend(threshold, growth), "node bigint, id bigint")
+        rows = store(rows, "paths", count)
+        drop_stored(met)
 
 
-def similar(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, recall: float = RECALL, block: int = BLOCK, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+def similar(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, recall: float = RECALL, block: int = BLOCK, wide: int = WIDE, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """One row a document: doc_id, class_id, n_links, n_texts (links to other n-gram sets),
     class_size, th (hash of the text), first (the one row of its class that has class_id)."""
     spark = docs.sparkSession
@@ -386,19 +506,20 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, r
     reps = seen.filter("size > 0").groupBy("name").agg(first.alias("f"), F.count("*").alias("copies"), F.min("doc_id").alias("low"))
     reps = store(reps.select("name", "f.*", "copies", "low"), "reps")
     comps = store(_components(candidate_links(reps, threshold, recall, small=small, depth=depth)), "components")
-    # members with their blocks: a component of up to ``block`` members is one block
     sizes = store(comps.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-    cut = F.ceil(F.col("n") / block).cast("int")
-    member = comps.join(sizes, "root").withColumn("blocks", cut).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    member = member.join(reps.select("id", F.col("doc_id").alias("at_id"), F.col("th").alias("at_th"), "copies"), "id")
-    member = store(member.select("id", F.col("root").alias("comp"), "blocks", "mine", "at_id", "at_th", "copies"), "members")
+    member = comps.join(sizes, "root").join(reps.select("id", F.col("doc_id").alias("at_id"), F.col("th").alias("at_th"), "copies"), "id")
+    member = store(member.select("id", F.col("root").alias("comp"), "n", "at_id", "at_th", "copies"), "members")
     # exact comparison of their texts; up to MAX_BROADCAST members the texts of others stay where they are
-    side = F.broadcast(member) if member.count() <= MAX_BROADCAST else member
-    whole = named.join(side, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th")))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("bi"), F.greatest("mine", o).alias("bj"), (F.col("mine") > o).cast("int").alias("side")))
-    dealt = whole.select("comp", F.explode(pairs).alias("p"), "id", "copies", "text").select("comp", "p.bi", "p.bj", "p.side", "id", "copies", "text")
-    dealt = dealt.repartition(n, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "side", "id")
-    exact = store(dealt.mapInArrow(_verify(threshold, ngram), "id bigint, to bigint, docs bigint, texts bigint"), "exact")
+    some, large = member.agg(F.count("*"), F.count_if(F.col("n") > block)).first()
+
+    def whole(of: DataFrame) -> DataFrame:
+        side = F.broadcast(of) if some <= MAX_BROADCAST else of
+        return named.join(side, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).select("comp", "n", "id", "copies", "text")
+
+    dealt = whole(member.filter(F.col("n") <= block)).select("comp", "id", "copies", "text").repartition(n, "comp").sortWithinPartitions("comp", "id")
+    exact = store(dealt.mapInArrow(_verify(threshold, ngram), _EXACT_SQL), "exact")
+    if large:
+        exact = exact.unionByName(_large_links(spark, whole(member.filter(F.col("n") > block)), threshold, ngram, wide))
     links = exact.groupBy("id").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     classes = _components(exact.select("id", "to"))
     known = reps.select("name", "id", "copies", "low", "doc_id").join(links, "id", "left").join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -423,17 +544,10 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, r
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of similar texts; columns as they came."""
-    th, n, kid, kth, times = fresh(docs, "gl_th", "gl_n", "gl_keep_id", "gl_keep_th", "gl_times")
-    kept = similar(docs).filter("first").groupBy(F.col("doc_id").alias(kid), F.col("th").alias(kth)).agg(F.count("*").alias(times))
-    once = Window.partitionBy("doc_id", th).orderBy(F.length("text").desc_nulls_last())
-    return (
-        docs.withColumn(th, F.xxhash64(text_of("text")))
-        .withColumn(n, F.row_number().over(once))
-        .join(kept, F.col("doc_id").eqNullSafe(F.col(kid)) & (F.col(th) == F.col(kth)))
-        .filter(F.col(n) <= F.col(times))
-        .select(*docs.columns)
-    )
+    """Keep one document of each class of similar texts; columns as they came. Texts without words
+    are in no class and all stay."""
+    found = similar(docs).filter("class_size > 1").select(F.struct("doc_id", "th").alias("key"), "first")
+    return once_each(docs, F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of("text")).alias("th")), found)
 
 
 def op06_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,34 @@ def test_large_groups_and_shared_passages(spark):
     compare(docs, df)
 
 
+def test_zones_of_large_components(spark):
+    """Members at the core, in the middle and far from the centre, compared by differences."""
+    rng = random.Random(11)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(160)]
+    docs, now = [edited(rng, base, rng.randrange(0, 9)) for _ in range(180)], list(base)
+    for _ in range(40):  # a chain that leaves the centre
+        for _ in range(3):
+            now[rng.randrange(len(now))] = f"y{rng.randrange(10**6)}"
+        docs += [" ".join(now)] * rng.randrange(1, 4)
+    docs = [{"doc_id": None if i % 97 == 0 else i, "text": t} for i, t in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    compare(docs, df, block=16, wide=24, small=32)
+
+
+def test_links_grow_with_the_members(spark):
+    """A group of near copies costs a few links a member, whatever its size."""
+    rng = np.random.default_rng(3)
+    made = []
+    for n in (1500, 6000):
+        base = rng.integers(0, 2**32, m.T, dtype=np.uint32)
+        sig = np.where(rng.random((n, m.T)) < 0.9, base, rng.integers(0, 2**32, (n, m.T), dtype=np.uint32)).astype(np.uint32)
+        reps = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sig)], "id bigint, sig binary")
+        links = m.candidate_links(reps, small=64).collect()
+        assert len({r["id"] for r in links}) == n - 1
+        made.append(len(links) / n)
+    assert max(made) < 4 and made[1] < 1.3 * made[0]
+
+
 def test_odd_rows(spark, odd, empty):
     docs = [r.asDict() for r in odd.collect()]
     compare(docs, odd)
