@@ -6,9 +6,11 @@ the blocks of the next level, until a document is down to one name. Names are gi
 whole blocks, never by hashing them, so two documents share (level, name) exactly if their
 normalised texts are equal.
 
-At scale: a batch of rows reports each of its distinct blocks once, with the places where it
-stands, so a block held by a third of the corpus reaches the sorting task as one row a batch. The
-sort streams; nothing is collected.
+At scale: a batch of rows reports each of its distinct blocks once, under a number of its own; the
+report is stored with the places where the block stands. Only blocks and report numbers are sorted,
+so a block held by a third of the corpus reaches its sorting task as one row of a block's bytes for
+each batch, without its places, and the names come back by report number, a key that has no
+repeats. The sort streams; nothing is collected.
 
 Defined results: null text is empty text; all empty texts are one group; rows with a null doc_id
 take part and lose ties against rows that have one; of fully equal rows exactly one is kept; an
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACE, fresh, partitions, small_batches, store, table, text_of
+from gridloom.llm.common import SPACE, drop_stored, once_each, partitions, small_batches, store, table, text_of
 
 BLOCK = 4096
 _PLACES = "array<struct<rid: bigint, pos: int, doc_id: bigint, n_chars: bigint, sha: binary>>"
@@ -73,7 +75,8 @@ def _report(cut, size: int):
 
 
 def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the distinct blocks of a sorted partition; equal blocks never lie in two partitions."""
+    """(block, ref) to (ref, name): the distinct blocks of a sorted partition are numbered; equal
+    blocks never lie in two partitions."""
     name, last = (TaskContext.get().partitionId() << 40) - 1, None
     for batch in batches:
         names = []
@@ -81,20 +84,17 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if block != last:
                 name, last = name + 1, block
             names.append(name)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(1)], names=["name", "places"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.int64())], names=["ref", "name"])
 
 
 def _level(rows: DataFrame, cut, size: int) -> DataFrame:
     n = partitions(rows.sparkSession)
+    reported = store(rows.mapInArrow(_report(cut, size), f"block binary, places {_PLACES}").withColumn("ref", F.monotonically_increasing_id()), "reported")
+    names = reported.select("block", "ref").repartition(n, "block").sortWithinPartitions("block").mapInArrow(_name, "ref bigint, name bigint")
     named = (
-        rows.mapInArrow(_report(cut, size), f"block binary, places {_PLACES}")
-        .repartition(n, "block")
-        .sortWithinPartitions("block")
-        .mapInArrow(_name, f"name bigint, places {_PLACES}")
-        .repartition(n)
-    )
-    return (
-        named.select("name", F.inline("places"))
+        reported.select("ref", "places")
+        .join(names, "ref")
+        .select("name", F.inline("places"))
         .groupBy("rid")
         .agg(
             F.max("doc_id").alias("doc_id"),
@@ -103,6 +103,9 @@ def _level(rows: DataFrame, cut, size: int) -> DataFrame:
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"),
         )
     )
+    named = store(named, "names")
+    drop_stored(reported)
+    return named
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
@@ -121,7 +124,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     )
     level, cut, found = 0, _cut_text, []
     while True:
-        named = store(_level(rows, cut, block_bytes), "names")
+        named = _level(rows, cut, block_bytes)
         found.append(named.filter(F.size("names") == 1).select("rid", "doc_id", "n_chars", "sha", F.lit(level).alias("level"), F.col("names")[0].alias("name")))
         rest = named.filter(F.size("names") > 1)
         if rest.isEmpty():
@@ -134,7 +137,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
-    """One row a document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row a document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
 
     Of equal texts the row with the most code points stays, then the one with the smallest doc_id.
     """
@@ -151,25 +154,21 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
         F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"),
         (alone | (F.col("rid") == F.col("best_row"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "n_chars",
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts; columns as they came."""
-    sha, n, kid, ksha = fresh(docs, "gl_sha", "gl_n", "gl_keep_id", "gl_keep_sha")
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias(kid), F.col("text_sha256").alias(ksha))
-    once = Window.partitionBy("doc_id", sha).orderBy(F.length("text").desc_nulls_last())
-    return (
-        docs.withColumn(sha, F.sha2(F.translate(text_of("text"), SPACE, ""), 256))
-        .join(kept, F.col("doc_id").eqNullSafe(F.col(kid)) & (F.col(sha) == F.col(ksha)), "left_semi")
-        .withColumn(n, F.row_number().over(once))
-        .filter(F.col(n) == 1)
-        .select(*docs.columns)
-    )
+    """Keep one document of each group of equal texts; columns as they came. Of rows with the same
+    doc_id and equal texts that tie for it, any one stays."""
+    sha = F.sha2(F.translate(text_of("text"), SPACE, ""), 256)
+    key = lambda who, of, chars: F.struct(who.cast("bigint").alias("doc_id"), of.alias("sha"), chars.alias("n"))
+    found = exact_duplicates(docs).select(key(F.col("doc_id"), F.col("text_sha256"), F.col("n_chars")).alias("key"), F.col("kept").alias("first"), "group_size")
+    return once_each(docs, key(F.col("doc_id"), sha, F.length(text_of("text")).cast("bigint")), found.filter("group_size > 1").drop("group_size"))
 
 
 def op10_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
 SQL = r"""

@@ -38,3 +38,12 @@ def test_odd_rows(spark, odd, empty):
     assert m.exact_duplicates(empty).count() == 0
     out = m.stage(spark, odd, "")
     assert out.columns == odd.columns and out.count() == m.exact_duplicates(odd).filter("kept").count()
+
+
+def test_hot_block_and_hot_null_id(spark):
+    """A third of the rows share a block, another third are the same row without an id."""
+    docs = [(i, "h" * 64 + f"{i:08d}") for i in range(700)] + [(None, "q" * 64 + "same")] * 700 + [(i, f"{i:072d}") for i in range(700)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(7)
+    compare(df, block_bytes=64)
+    out = m.stage(spark, df, "")
+    assert out.count() == 1401 and out.filter("doc_id is null").count() == 1
