@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,24 @@ def fresh(docs: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if it is read straight from Parquet files, else a stored copy."""
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        return store(docs, "rows")
+    return docs
+
+
+def identified(docs: DataFrame, file: str, row: str) -> DataFrame:
+    """``docs`` with a lasting identity of its rows: a hash of the file they come from and their
+    place in it, the same however often and in whatever splits the files are read. A frame that is
+    not read straight from Parquet files is stored first."""
+    docs = stored(docs)
+    meta = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(meta["file_path"]).alias(file), meta["row_index"].cast("bigint").alias(row))
+
+
 #: Keys of dropped or repeated rows up to this number are broadcast; beyond it the rows are shuffled.
 MAX_BROADCAST_KEYS = 200_000
 

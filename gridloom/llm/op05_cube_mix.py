@@ -10,8 +10,11 @@ undecided documents of each block meet again in blocks of the next round, until
 is left, whose last two documents are landed by the closest word total.
 
 At scale: a source is cut into blocks of at most about BLOCK rows, so a source with a third of all
-rows is many tasks; the undecided shrink by BLOCK/2 a round. Only source totals are joined, with no
-broadcast hint.
+rows is many tasks; the undecided shrink by BLOCK/2 a round. Rows are dealt into blocks by doc_id and
+size; where more than BLOCK rows of a source share these (null ids, say), by their place in the file
+as well. Only source totals are joined, with no broadcast hint; the targets are set in one task, one
+row a source, so memory there is bounded by the number of sources alone. The stage finds its rows by
+file and place, a key without repeats, and neither sorts texts nor groups them.
 
 Defined results: null or empty text has size 0; a source whose size is 0 has target 0 and takes
 nothing; a null source is a source of its own; null and repeated doc_ids are documents like others;
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, fresh, partitions, store, table, text_of
+from gridloom.llm.common import WORD, fresh, identified, partitions, store, stored, table, text_of
 
 #: Fixed by the contract.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -85,7 +88,7 @@ def land(x: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 def _flight(seed: int, last: bool):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size"], na_position="last", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "size", "deal", "row"], na_position="last", kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, zlib.crc32(repr(key[0]).encode()), int(key[1])])
         x = fly(pdf["x"].to_numpy(float), pdf["size"].to_numpy(float), rng.random(len(pdf) + 1))
         return pdf.assign(x=land(x, pdf["size"].to_numpy(float)) if last else x)
@@ -112,11 +115,15 @@ def targets(sized: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_rows: int = BLOCK, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: how often the mix takes each document."""
+    """file, row (see ``identified``), doc_id, source, size, source_size, target, copies: how often the
+    mix takes each document."""
     spark = docs.sparkSession
     n = partitions(spark)
+    file, row = fresh(docs, "gl_file", "gl_row")
     sized = store(
-        docs.select(
+        identified(docs, file, row).select(
+            F.col(file).alias("file"),
+            F.col(row).alias("row"),
             F.col("doc_id").cast("bigint").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(text_of("text"), F.lit(WORD)).cast("bigint").alias("size"),
@@ -130,9 +137,18 @@ def mix(docs: DataFrame, block_rows: int = BLOCK, seed: int = 7) -> DataFrame:
     per = per.withColumn("whole", F.floor(rate).cast("int")).withColumn("x", rate - F.floor(rate))
     per = per.withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int")).select(F.col("source").alias("of"), "source_size", "target", "whole", "x", "blocks")
     rows = sized.join(per, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    schema = "file bigint, row bigint, doc_id bigint, source string, size bigint, source_size bigint, target double, whole int, x double, deal bigint"
+    same = ["source", "doc_id", "size"]
+    heavy = store(sized.groupBy(*same).agg(F.count("*").alias("c")).filter(F.col("c") > block_rows).select(*[F.col(c).alias(f"h_{c}") for c in same]), "heavy")
+    deal = F.xxhash64("doc_id", "size")
+    if heavy.isEmpty():
+        rows = rows.withColumn("deal", deal)
+    else:
+        met = [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in same]
+        rows = rows.join(heavy, met[0] & met[1] & met[2], "left")
+        rows = rows.withColumn("deal", F.when(F.col("h_size").isNull(), deal).otherwise(F.xxhash64("size", "row"))).drop(*heavy.columns)
     settled = [rows.filter("x = 0").drop("blocks")]
-    schema = "doc_id bigint, source string, size bigint, source_size bigint, target double, whole int, x double"
-    flying = rows.filter("x > 0").withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks"))).drop("blocks")
+    flying = rows.filter("x > 0").withColumn("block", F.pmod("deal", F.col("blocks"))).drop("blocks")
     last = False
     for turn in range(64):
         done = flying.repartition(n, "source", "block").groupBy("source", "block").applyInPandas(_drop_block(_flight(seed + turn, last), schema), schema)
@@ -143,11 +159,11 @@ def mix(docs: DataFrame, block_rows: int = BLOCK, seed: int = 7) -> DataFrame:
             break
         left = rest.groupBy("source").count().withColumnRenamed("source", "of")
         last = left.filter(F.col("count") > block_rows).isEmpty()
-        flying = rest.join(left, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("count") / block_rows))).drop("of", "count")
+        flying = rest.join(left, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod("deal", F.ceil(F.col("count") / block_rows))).drop("of", "count")
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("x").cast("int")).alias("copies"))
+    return out.select("file", "row", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("x").cast("int")).alias("copies"))
 
 
 def _drop_block(f, schema: str):
@@ -161,14 +177,13 @@ def _drop_block(f, schema: str):
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: each document as often as it is taken; columns as they came."""
-    size, n, kid, ksize, kn, times = fresh(docs, "gl_size", "gl_n", "gl_mix_id", "gl_mix_size", "gl_mix_n", "gl_copies")
-    src = fresh(docs, "gl_mix_source")[0]
-    taken = mix(docs).select(F.col("doc_id").alias(kid), F.col("source").alias(src), F.col("size").alias(ksize), F.col("copies").alias(times))
-    taken = taken.withColumn(kn, F.row_number().over(Window.partitionBy(kid, src, ksize).orderBy(F.col(times).desc())))
-    mine = docs.withColumn(size, F.regexp_count(text_of("text"), F.lit(WORD)).cast("bigint"))
-    mine = mine.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy("text")))
-    same = F.col("doc_id").eqNullSafe(F.col(kid)) & F.col("source").eqNullSafe(F.col(src)) & (F.col(size) == F.col(ksize)) & (F.col(n) == F.col(kn))
-    return mine.join(taken.filter(F.col(times) > 0), same).withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    docs = stored(docs)
+    file, row, of, at, times = fresh(docs, "gl_file", "gl_row", "gl_mix_file", "gl_mix_row", "gl_copies")
+    taken = mix(docs).filter("copies > 0").select(F.col("file").alias(of), F.col("row").alias(at), F.col("copies").alias(times))
+    mine = identified(docs, file, row)
+    # a hash join, so that texts are not sorted; keys have no repeats
+    out = mine.join(taken.hint("shuffle_hash"), (F.col(file) == F.col(of)) & (F.col(row) == F.col(at)))
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op05_query(spark: SparkSession, sf_dir: str) -> DataFrame:

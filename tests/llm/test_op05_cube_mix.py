@@ -57,6 +57,17 @@ def test_odd_rows(odd, empty, spark):
     assert out.columns == odd.columns and out.count() == sum(r["copies"] for r in m.mix(odd).collect())
 
 
+def test_many_rows_of_one_null_id(spark):
+    """Equal rows without an id are dealt into blocks by their place; totals and reruns hold."""
+    docs = [{"doc_id": None, "source": "a", "text": "x y z"}] * 900 + [{"doc_id": i, "source": "abc"[i % 3], "text": "w " * (i % 17)} for i in range(300)]
+    df = m.store(spark.createDataFrame(docs, "doc_id bigint, source string, text string").repartition(3), "many")
+    rows = m.mix(df, block_rows=100).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, m.mix(df, block_rows=100).collect()))
+    t, taken = check(docs, rows)
+    assert all(abs(taken[s] - t[s]) <= 20 for s in t)
+    assert m.stage(spark, df, "").count() == sum(r["copies"] for r in m.mix(df).collect())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.floats(0.01, 0.99), st.integers(0, 50)), max_size=60), st.integers(0, 99))
 def test_flight_keeps_both_totals(units, seed):
