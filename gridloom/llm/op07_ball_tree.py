@@ -1,16 +1,19 @@
 """Exact top-k search by inner product: a ball tree for each shard, branch and bound.
 
 Vectors are turned into integers, floor(64 * x), and dealt into shards of about SHARD rows. Each
-shard builds a ball tree: nodes are split at the median of their widest direction, so that equal
-vectors never make it deep, and hold a centre and a radius. For a query q no vector of a node has
-an inner product above q.centre + |q| * radius; nodes are taken in order of that bound, and a node
-whose bound is below the query's current k-th score is left out. The k-th score is shared in
-rounds: first every query searches one shard, then all other shards start from the k-th score
-found there (a lower bound of the final one).
-
-Queries come in blocks of at most BLOCK rows against every shard; that is the stated query set
-against all rows, in blocks. A task holds one shard and one block. Results of the shards are merged
-by a rank within each query, after each shard has cut its own to k.
+shard builds its ball tree once, and the tree is stored: nodes are split at the median of their
+widest direction, so that equal vectors never make it deep, and hold a centre and a radius. For a
+query q no vector of a node has an inner product above q.centre + |q| * radius; nodes are taken in
+order of that bound, and a node whose bound is below the query's current k-th score is left out. The
+k-th score is shared in rounds: first every query searches one shard, then seven more from the k-th
+score found there, then 56 more from what these found, and so on (each a lower bound of the final
+one).
+
+Every query meets every shard; that is the stated query set against all rows, in blocks. A task
+holds one tree, and queries stream past it in blocks of BLOCK; beyond QUERIES queries a tree is read
+by several tasks. So what is shuffled is the trees, once a round and QUERIES queries, and the queries
+once a shard; vectors are never copied by block of queries. Results are cut to k for each query in
+every task, and after every round.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, as
 query or candidate; neither do rows with a null vec_id. Queries meet vectors of their own length
@@ -21,26 +24,31 @@ a long. An empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import store, table
+from gridloom.llm.common import drop_stored, partitions, store, table
 
 SCALE = 64
 TOP = 20
 SHARD = 8_192
 BLOCK = 1_024
+QUERIES = 65_536
+SPREAD = 8
 LEAF = 64
 _LIMIT = 2.0**52
 
 
 @dataclass
 class Ball:
-    rows: np.ndarray
+    rows: np.ndarray | None  # of a leaf
     centre: np.ndarray
     radius: float
     parts: tuple = ()
@@ -57,6 +65,7 @@ def build(x: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Ball:
         if spread.max() > 0:
             order = np.argpartition(mine[:, int(spread.argmax())], len(rows) // 2)
             half = len(rows) // 2
+            ball.rows = None
             ball.parts = (build(x, rows[order[:half]], leaf), build(x, rows[order[half:]], leaf))
     return ball
 
@@ -93,7 +102,8 @@ def search(root: Ball, x: np.ndarray, ids: np.ndarray, own: np.ndarray, q: np.nd
             scores = q[some] @ x[ball.rows].T
             taken += scores.size
             here, mine = ids[ball.rows], own[ball.rows]
-            for i, s in zip(some, scores):
+            better = (scores >= kth[some][:, None]).any(axis=1)
+            for i, s in zip(some[better], scores[better]):
                 keep = (mine != q_own[i]) & (s >= kth[i])
                 if keep.any():
                     all_s, all_i = np.concatenate([found[i][0], s[keep]]), np.concatenate([found[i][1], here[keep]])
@@ -139,22 +149,52 @@ def _big(x: np.ndarray, ids, own, q, q_own, k):
 _OUT = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
 
 
-def _meet(k: int, leaf: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, ...]] = []
-        if len(left) and len(right):
-            left = left.sort_values("row", ignore_index=True)
-            x, q = _matrix(left["v"]), _matrix(right["v"])
-            ids, own = left["vec_id"].to_numpy(np.int64), left["row"].to_numpy(np.int64)
-            if _exact(x, q):
-                found, _ = search(build(x, np.arange(len(x)), leaf), x, ids, own, q, right["row"].to_numpy(np.int64), right["kth"].to_numpy(float), k)
-                found = [(s.astype(np.int64), i) for s, i in found]
-            else:
-                found = list(_big(x, ids, own, q, right["row"].to_numpy(np.int64), k))
-            for row, qid, (s, i) in zip(right["row"], right["vec_id"], found):
-                out.append((np.full(len(s), row), np.full(len(s), qid), np.array(i, np.int64), np.array(s, np.int64)))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-        return pd.DataFrame(dict(zip(("query_row", "query_id", "vec_id", "score"), cols)))
+def _plant(leaf: int):
+    """The rows of a shard to its stored tree."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row", ignore_index=True)
+        x = _matrix(pdf["v"])
+        whole = x.astype(np.int32) if x.size == 0 or np.abs(x).max() < 2**31 else x
+        tree = (whole, pdf["vec_id"].to_numpy(np.int64), pdf["row"].to_numpy(np.int64), build(x, np.arange(len(x)), leaf))
+        return pd.DataFrame({"shard": [int(key[0])], "dim": [int(key[1])], "tree": [pickle.dumps(tree, 5)]})
+
+    return run
+
+
+def _walk(k: int, block: int):
+    """(shard, dim, part, tree, row, vec_id, v, kth), a tree and then its queries: the best of each
+    query in the tree."""
+    shape = pa.schema([(c.split()[0], pa.int64()) for c in _OUT.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = tree = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            trees = batch.column(3)
+            rows, ids, kth = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 7))
+            lo = 0
+            while lo < len(keys):
+                if trees[lo].is_valid:
+                    x, who, own, root = pickle.loads(trees[lo].as_py())
+                    at, tree = keys[lo], (x.astype(float), who, own, root)
+                    lo += 1
+                    continue
+                hi = lo + 1
+                while hi < min(len(keys), lo + block) and keys[hi] == keys[lo] and not trees[hi].is_valid:
+                    hi += 1
+                if keys[lo] == at:  # else no vector of the shard has this length
+                    x, who, own, root = tree
+                    q = np.array(batch.column(6).slice(lo, hi - lo).to_pylist(), float).reshape(hi - lo, -1)
+                    mine, floor = rows[lo:hi].astype(np.int64), kth[lo:hi].astype(float)
+                    if _exact(x, q):
+                        found = [(s.astype(np.int64), i) for s, i in search(root, x, who, own, q, mine, floor, k)[0]]
+                    else:
+                        found = [(np.array(s, np.int64), np.array(i, np.int64)) for s, i in _big(x, who, own, q, mine, k)]
+                    n = [len(s) for s, _ in found]
+                    cols = [np.repeat(mine, n), np.repeat(ids[lo:hi].astype(np.int64), n), np.concatenate([i for _, i in found]), np.concatenate([s for s, _ in found])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=shape)
+                lo = hi
 
     return run
 
@@ -164,9 +204,10 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP, shard_rows: int = SHARD, block_rows: int = BLOCK, leaf: int = LEAF) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP, shard_rows: int = SHARD, block_rows: int = BLOCK, leaf: int = LEAF, queries_a_task: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score. ``vectors``: vec_id, embedding; ``queries``: a Column condition
     on ``vec_id``, by default every id that is divisible by 20."""
+    spark = vectors.sparkSession
     wanted = F.pmod("vec_id", F.lit(20)) == 0 if queries is None else queries
     x = F.transform(F.col("embedding"), lambda e: e.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("v"))
@@ -176,25 +217,31 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP, sh
     )
     rows = store(rows, "vectors")
     n, m = rows.agg(F.count("*"), F.count_if(wanted)).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    deal = lambda parts: F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
-    data = rows.withColumn("shard", deal(shards))
-    # the two sides of a cogroup must not share columns
-    asked = rows.select(*[F.col(c).alias(c) for c in rows.columns]).filter(wanted).withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int"))
-    meet = lambda d, a: d.groupBy("shard", "block", "dim").cogroup(a.groupBy("shard", "block", "dim")).applyInPandas(_meet(k, leaf), _OUT)
-    # first round: each block in one shard
-    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    first = asked.withColumn("shard", home).withColumn("kth", F.lit(float("-inf")))
-    homes = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).filter(home == F.col("shard"))
-    near = store(meet(homes, first), "near")
-    if shards > 1:
-        kth = near.groupBy("query_row").agg(F.count("*").alias("c"), F.min("score").alias("s")).filter(F.col("c") >= k)
-        rest = asked.join(kth.select(F.col("query_row").alias("row"), F.col("s").cast("double").alias("kth")), "row", "left")
-        rest = rest.withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
-        rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(home != F.col("shard"))
-        others = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).filter(home != F.col("shard"))
-        near = near.unionByName(meet(others, rest))
-    return _top(near, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    shards, parts = max(1, -(-n // shard_rows)), max(1, -(-m // queries_a_task))
+    home = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
+    trees = rows.withColumn("shard", home).groupBy("shard", "dim").applyInPandas(_plant(leaf), "shard int, dim int, tree binary")
+    trees = store(trees, "trees")
+    none = lambda kind: F.lit(None).cast(kind)
+    planted = trees.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "tree", none("bigint").alias("row"), none("bigint").alias("vec_id"), none("array<double>").alias("v"), none("double").alias("kth"))
+    asked = rows.filter(wanted).withColumn("part", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(parts)).cast("int")).withColumn("home", home)
+    few_shards, found, lo, hi = partitions(spark), None, 0, 1
+    while lo < shards:
+        turn = asked.withColumn("kth", F.lit(float("-inf")))
+        if found is not None:
+            kth = found.groupBy("query_row").agg(F.count("*").alias("c"), F.min("score").alias("s")).filter(F.col("c") >= k)
+            turn = asked.join(kth.select(F.col("query_row").alias("row"), F.col("s").cast("double").alias("kth")), "row", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
+        turn = turn.withColumn("shard", F.explode(F.sequence(F.lit(lo), F.lit(min(hi, shards) - 1))))
+        turn = turn.withColumn("shard", F.pmod(F.col("home") + F.col("shard"), F.lit(shards)).cast("int"))
+        meet = planted.unionByName(turn.select("shard", "dim", "part", none("binary").alias("tree"), "row", "vec_id", "v", "kth"))
+        # the tree, which has no row number, comes before its queries
+        meet = meet.repartition(few_shards, "shard", "dim", "part").sortWithinPartitions("shard", "dim", "part", F.col("row").asc_nulls_first())
+        near = meet.mapInArrow(_walk(k, block_rows), _OUT)
+        old, found = found, store(_top(near if found is None else found.unionByName(near), k).drop("rank"), "found")
+        if old is not None:
+            drop_stored(old)
+        lo, hi = hi, hi * SPREAD
+    drop_stored(trees)
+    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _floor(e):

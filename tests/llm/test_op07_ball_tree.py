@@ -32,6 +32,12 @@ def test_many_shards_and_ties(spark):
     assert run(spark, rows, shard_rows=100, block_rows=16, leaf=8) == want
 
 
+def test_long_vectors_and_many_tasks_a_tree(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=5000).tolist()) for i in range(60)]
+    assert run(spark, rows, shard_rows=7, queries_a_task=2, block_rows=2) == brute(rows, 20)
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (20, None), (40, [1.0, None]), (60, [float("nan"), 1.0]), (80, [float("inf"), 1.0]), (None, [1.0, 1.0]), (1, [0.5, -0.5]), (2, [1.0]), (100, [3.0]), (120, []), (3, [1e300, 1.0]), (-20, [0.26, -0.01])]
     assert run(spark, rows) == brute(rows, 20)
