@@ -1,16 +1,23 @@
 """Personal data by a skip-chain conditional random field on top of fixed patterns.
 
 Base spans are the leftmost non-overlapping matches of four patterns, checked afterwards (parts of
-an address, Luhn sum, number of digits). They stay. The field looks at the other stretches of a
-document that could be such data, numbers and spelled-out addresses, together with the base spans:
-its nodes are these stretches in order, with the labels none, email, ip, card, phone; neighbours
-share a chain potential, and stretches with the same address, the same four parts of an IP address
-or the same digits (the last nine of longer numbers), however far apart, share a skip potential. Loopy belief propagation over the whole document makes their labels
-agree: a number without its "+", or a card with other separators, takes the label of the base span
-it repeats. A stretch that repeats no base span keeps the label none.
-
-Weights are fitted by pseudo-likelihood with the base labels, in numpy, on the stretches of about
-TRAIN_DOCS documents (a bounded sample); everything else covers all rows and whole texts.
+an address, Luhn sum, number of digits). They stay. The field looks at every other stretch that could
+be such data, numbers and spelled-out addresses, with or without base spans in its document: its
+nodes are these stretches and the base spans in order, with the labels none, email, ip, card, phone;
+neighbours share a chain potential, and stretches with the same address, the same four parts of an
+IP address or the same digits (the last nine of longer numbers), however far apart and whether a
+pattern has found them or not, share a skip potential. Loopy belief propagation over the whole
+document makes their labels agree. A stretch whose label is none with less than 1 - ADD_AT is added:
+a number that repeats a base span in another form, but also one that looks like the forms in which
+the field has seen personal data hide.
+
+Weights are fitted by pseudo-likelihood, in numpy, on the stretches of about TRAIN_DOCS documents (a
+bounded sample; of more than NODES stretches those that come first in a hash order). Base labels are
+partly hidden there: every base span also stands in the sample in a disguise that no pattern finds
+(without its plus sign, with other separators, spelled out), half of the time linked to the span it
+repeats and half of the time alone, so the field learns both to follow a link and to label a stretch
+that stands by itself. Stretches that no pattern finds count as none. Everything else covers all rows
+and whole texts.
 
 At scale: one scan for the sample and one for the work, no shuffle; memory grows with the longest
 text. Repeated stretches are linked in a row, not pairwise, so a number that stands a thousand
@@ -24,6 +31,7 @@ points, ends exclusive.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +42,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import small_batches, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS = 3_000
-ADD_AT = 0.5
+TRAIN_DOCS = 10_000
+NODES = 60_000
+ADD_AT = 0.7
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # a match from inside a run of digits would also match from its start
@@ -44,6 +53,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"\(?[0-9](?:(?:[-./_]|\) ?| \(?)?[0-9])+")
 _SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?\[at\] ?| ?\(at\) ?| at )[A-Za-z0-9-]++(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z0-9-]++)+", re.IGNORECASE)
+#: What a spelled-out address needs.
+_AT = re.compile(r"[\[(]at[\])]| at ", re.IGNORECASE)
+_DOT = re.compile(r"[\[(]dot[\])]| dot ", re.IGNORECASE)
+_LETTER = re.compile("[A-Za-z]")
 _SEPARATOR = re.compile("[-./_ ]")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
@@ -94,39 +107,64 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-FEATURES = 40
+FEATURES = 41
+_PLAIN_AT = 39
+
 
+def _quad(piece: str) -> str | None:
+    """The four parts of an IP address, if the stretch is four numbers up to 255."""
+    parts = [p.lstrip("0") or "0" for p in _SEPARATOR.split(piece)]
+    return ".".join(parts) if len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts) else None
 
-def _features(text: str, start: int, end: int) -> list[int]:
-    piece = text[start:end]
+
+def _features(piece: str, before: str = "", after: str = "") -> list[int]:
+    """Of a stretch and the characters around it: positions of the features that hold."""
     digits = _NOT_DIGIT.sub("", piece)
-    dots = piece.count(".")
-    on = [0, 1 + min(len(digits), 20), 22 + min(dots, 4)]
+    letters = bool(_LETTER.search(piece))
+    bracket, dot = "[" in piece or (letters and "(" in piece), bool(_DOT.search(piece))
+    on = [0, 1 + min(len(digits), 20), 22 + min(piece.count("."), 4)]
     flags = (
-        piece.startswith("+") or text[start - 1 : start] == "+",
+        piece.startswith("+") or before == "+",
         "(" in piece,
         "-" in piece,
         " " in piece,
         "/" in piece or "_" in piece,
         16 <= len(digits) <= 19 and luhn(digits),
-        dots == 3 and all(len(p) <= 3 for p in piece.split(".")),
+        not letters and _quad(piece) is not None,
         "@" in piece,
-        bool(re.search("[A-Za-z]", piece)),
+        letters,
         digits.startswith("0"),
+        bracket,
+        dot,
+        letters and "@" not in piece and not bracket and not dot,
+        not letters and (before.isalnum() or after.isalnum()),
     )
     return on + [27 + k for k, f in enumerate(flags) if f]
 
 
+def _disguise(piece: str, label: int, turn: int) -> str:
+    """The same data in a form that no pattern finds."""
+    if label == 1:
+        at, dot = ((" [at] ", "."), (" at ", " dot "), ("(at)", "(dot)"))[turn % 3]
+        local, _, domain = piece.partition("@")
+        return local + at + domain.replace(".", dot)
+    if label == 2:
+        return piece.replace(".", "-_/"[turn % 3])
+    digits = _NOT_DIGIT.sub("", piece)
+    if label == 3:
+        return "./_"[turn % 3].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    bare = piece.lstrip("+")
+    return (bare, re.sub("[() .-]+", ".", bare).strip("."), re.sub("[() .-]+", "-", bare).strip("-"))[turn % 3]
+
+
 def _likeness(text: str, start: int, end: int) -> list[str]:
     """Stretches that share a key are linked."""
     piece = text[start:end].lower()
     if re.search("[a-z]", piece):
         piece = re.sub(r" ?[\[(]at[\])] ?| at ", "@", piece)
         return ["a" + re.sub(r" ?[\[(]dot[\])] ?| dot ", ".", piece)]
-    keys = []
-    parts = [p.lstrip("0") or "0" for p in _SEPARATOR.split(piece)]
-    if len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts):
-        keys.append("i" + ".".join(parts))
+    quad = _quad(piece)
+    keys = ["i" + quad] if quad else []
     digits = _NOT_DIGIT.sub("", piece)
     # few digits of an address are no number
     return [*keys, "d" + digits[-9:]] if len(digits) >= (9 if keys and "." in piece else 7) else keys
@@ -139,7 +177,7 @@ class Graph:
         nodes = [(a, b, k + 1) for k, a, b in base]
         taken = sorted((a, b) for a, b, _ in nodes)
         free = [m.span() for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7]
-        if "at" in text or "AT" in text or "At" in text:
+        if _AT.search(text):
             free += [m.span() for m in _SPELT.finditer(text)]
         k = 0
         for a, b in sorted(free):
@@ -155,15 +193,11 @@ class Graph:
         for i, (a, b, _) in enumerate(nodes):
             for key in _likeness(text, a, b):
                 alike.setdefault(key, []).append(i)
-        # stretches that repeat no base span have nothing to agree with but each other
-        self.skip = [e for same in alike.values() if any(nodes[i][2] > 0 for i in same) for e in zip(same, same[1:])]
+        self.skip = [e for same in alike.values() for e in zip(same, same[1:])]
         self.text = text
 
-    def open_links(self) -> bool:
-        return any(self.nodes[i][2] < 0 or self.nodes[j][2] < 0 for i, j in self.skip)
-
     def features(self) -> list[list[int]]:
-        return [_features(self.text, a, b) for a, b, _ in self.nodes]
+        return [_features(self.text[a:b], self.text[a - 1 : a] if a else "", self.text[b : b + 1]) for a, b, _ in self.nodes]
 
 
 class Field:
@@ -180,6 +214,8 @@ class Field:
                 phi[i] = -50.0
                 phi[i, label] = 0.0
         edges = [(i, j, self.chain) for i, j in g.chain] + [(i, j, self.skip) for i, j in g.skip]
+        if not edges:
+            return np.exp(phi - np.logaddexp.reduce(phi, axis=1, keepdims=True))
         src = np.array([e for i, j, _ in edges for e in (i, j)])
         dst = np.array([e for i, j, _ in edges for e in (j, i)])
         psi = np.array([m for _, _, w in edges for m in (w, w.T)])
@@ -204,13 +240,13 @@ class Field:
 
     def added(self, text: str, base: list[tuple[int, int, int]], add_at: float = ADD_AT) -> list[tuple[int, int, int]]:
         g = Graph(text, base)
-        if not g.open_links():
+        if all(label >= 0 for _, _, label in g.nodes):
             return []
-        p, linked = self.marginals(g), {i for e in g.skip for i in e}
-        return [(int(p[i, 1:].argmax()), a, b) for i, (a, b, label) in enumerate(g.nodes) if label < 0 and i in linked and p[i, 0] < 1 - add_at]
+        p = self.marginals(g)
+        return [(int(p[i, 1:].argmax()), a, b) for i, (a, b, label) in enumerate(g.nodes) if label < 0 and p[i, 0] < 1 - add_at]
 
 
-def fit(rows: list[tuple[list[int], int, int, int, list[int]]], steps: int = 400, rate: float = 0.5, decay: float = 2e-3) -> Field:
+def fit(rows: list[tuple[list[int], int, int, int, list[int]]], steps: int = 2000, rate: float = 0.5, decay: float = 2e-3) -> Field:
     """Pseudo-likelihood: each row has a node's features, its label, the labels before and after
     (-1: none) and those of its skip neighbours."""
     n = len(rows)
@@ -226,8 +262,9 @@ def fit(rows: list[tuple[list[int], int, int, int, list[int]]], steps: int = 400
         for s in skips:
             x[r, FEATURES + 10 + s] += 1
     w = np.zeros((5, x.shape[1]))
-    # without evidence, equal stretches prefer equal labels
+    # without evidence, equal stretches prefer equal labels, and a word, "at" and a name are no address
     w[:, FEATURES + 10 :] = 4.0 * np.eye(5)
+    w[0, [0, _PLAIN_AT]] = 1.0, 4.0
     prior = w.copy()
     if n:
         target = np.eye(5)[y]
@@ -241,25 +278,45 @@ def fit(rows: list[tuple[list[int], int, int, int, list[int]]], steps: int = 400
     return Field(w[:, :FEATURES], (before.T + after) / 2, (skip + skip.T) / 2)
 
 
+_NODE = pa.schema([("f", pa.list_(pa.int32())), ("y", pa.int32()), ("before", pa.int32()), ("after", pa.int32()), ("skips", pa.list_(pa.int32()))])
+
+
+def training_nodes(text: str) -> list[dict]:
+    """Features, label, neighbours' labels (-1: none) and skip neighbours' labels of a document's
+    stretches; base spans also in a disguise, as a repeated stretch or alone."""
+    g = Graph(text, base_spans(text))
+    labels, skips = [max(label, 0) for _, _, label in g.nodes], [[] for _ in g.nodes]
+    for i, j in g.skip:
+        skips[i].append(labels[j])
+        skips[j].append(labels[i])
+    out = []
+    for i, f in enumerate(g.features()):
+        start, end, label = g.nodes[i]
+        before, after = labels[i - 1] if i else -1, labels[i + 1] if i + 1 < len(labels) else -1
+        out.append({"f": f, "y": labels[i], "before": before, "after": after, "skips": skips[i]})
+        if label > 0:
+            turn = zlib.crc32(text[start:end].encode())
+            hidden = _features(_disguise(text[start:end], label, turn // 2))
+            if turn % 2:  # it repeats the span, which is the stretch before it
+                out.append({"f": hidden, "y": label, "before": label, "after": after, "skips": [label]})
+            else:
+                out.append({"f": hidden, "y": label, "before": before, "after": after, "skips": []})
+    return out
+
+
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for text in batch.column(0).to_pylist():
-            g = Graph(text, base_spans(text))
-            labels, skips = [max(label, 0) for _, _, label in g.nodes], [[] for _ in g.nodes]
-            for i, j in g.skip:
-                skips[i].append(labels[j])
-                skips[j].append(labels[i])
-            for i, f in enumerate(g.features()):
-                out.append({"f": f, "y": labels[i], "before": labels[i - 1] if i else -1, "after": labels[i + 1] if i + 1 < len(labels) else -1, "skips": skips[i]})
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("f", pa.list_(pa.int32())), ("y", pa.int32()), ("before", pa.int32()), ("after", pa.int32()), ("skips", pa.list_(pa.int32()))]))
-
-
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
-    """Fit on the stretches of about ``train_docs`` documents, at most 20 times as many stretches."""
+        yield pa.RecordBatch.from_pylist([row for text in batch.column(0).to_pylist() for row in training_nodes(text)], schema=_NODE)
+
+
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, nodes: int = NODES) -> Field:
+    """Fit on the stretches of about ``train_docs`` documents, at most ``nodes`` of them."""
     every = max(1, docs.count() // train_docs)
     sample = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(every)) == 0).select(text_of("text").alias("text"))
-    rows = sample.mapInArrow(_training_rows, "f array<int>, y int, before int, after int, skips array<int>").limit(20 * train_docs).collect()
+    names = ["f", "y", "before", "after", "skips"]
+    rows = sample.mapInArrow(_training_rows, "f array<int>, y int, before int, after int, skips array<int>")
+    # a top-k in an order that does not depend on partitions
+    rows = rows.orderBy(F.xxhash64(*names), *names).limit(nodes).collect()
     return fit([(r["f"], r["y"], r["before"], r["after"], r["skips"]) for r in rows])
 
 
@@ -277,7 +334,7 @@ def find(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",)) ->
             for text in batch.column(len(keep)).to_pylist():
                 found = base_spans(text)
                 base.append([{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(found)])
-                added.append([{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(field.added(text, found))] if found else [])
+                added.append([{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(field.added(text, found))])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(base, kind), pa.array(added, kind)], names=[*keep, "base", "added"])
 
     return rows.mapInArrow(run, schema)
