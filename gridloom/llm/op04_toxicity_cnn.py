@@ -4,8 +4,8 @@ Words (lower case, without surrounding punctuation) are hashed into BUCKETS buck
 least MIN_DOCS training documents have a row of the embedding, all others share the blank row.
 Filters of widths 1, 2 and 3 slide over a text, each filter keeps its largest response (max
 pooling), and a logistic layer over the rectified maxima gives the score. Everything is trained in
-numpy on a bounded sample of about TRAIN_DOCS labelled documents whose crc32(doc_id as text) mod 5
-is not 0; a fifth of these calibrate. Labels, language, source and doc_id are never inputs of a
+numpy on a bounded sample, TRAIN_DOCS labelled documents whose crc32(doc_id as text) mod 5 is not 0
+(and at most TRAIN_WORDS words of them); a fifth of these calibrate. Labels, language, source and doc_id are never inputs of a
 score. A threshold for each language, and one for all others, is calibrated on the sample; it
 decides ``flagged``, while ``predicted`` is score >= 0.5.
 
@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc_of_id, small_batches, table, text_of
+from gridloom.llm.common import crc_of_id, drop_stored, small_batches, store, table, text_of
 
 TRAIN_DOCS = 6_000
+TRAIN_WORDS = 4_000_000
 BUCKETS = 1 << 22
 MIN_DOCS = 5
 DIM = 8
@@ -204,18 +205,34 @@ def _cutoff(score: np.ndarray, y: np.ndarray) -> float:
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Classifier:
-    """Fit on about ``train_docs`` labelled documents (never more than 1.5 times as many)."""
+def _as_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, doc_id, lang, toxic, text) with the buckets of the text's words in its place."""
+    for batch in batches:
+        words = [word_ids(t).tobytes() for t in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(words, pa.binary())], names=["at", "doc_id", "lang", "toxic", "words"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> Classifier:
+    """Fit on the first ``train_docs`` labelled ids in hash order, and of their documents on the
+    first of at most 1.5 times as many and ``train_words`` words. The driver holds words' buckets,
+    no texts."""
+    spark = docs.sparkSession
+    small_batches(spark)
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max("toxic").alias("toxic"))
-    marked = marked.filter(F.pmod(crc_of_id("id"), F.lit(5)) != 0)
-    every = max(1, marked.count() // train_docs)
-    marked = marked.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(train_docs * 3 // 2)
+    marked = marked.filter(F.pmod(crc_of_id("id"), F.lit(5)) != 0).orderBy(F.xxhash64("id"), "id").limit(train_docs)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text").alias("text"), lang.cast("string").alias("lang"))
     # the sample's ids are bounded by train_docs
-    got = rows.join(F.broadcast(marked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "lang", "toxic").limit(train_docs * 3 // 2).collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["text"]))
-    words, y = [word_ids(r["text"]) for r in got], np.array([int(r["toxic"] > 0) for r in got], int)
+    sample = rows.join(F.broadcast(marked), F.col("doc_id") == F.col("id")).select(F.xxhash64("doc_id", "text").alias("at"), "doc_id", "lang", F.col("toxic").cast("int").alias("toxic"), "text")
+    sample = sample.mapInArrow(_as_words, "at bigint, doc_id bigint, lang string, toxic int, words binary")
+    sample = store(sample.sortWithinPartitions("at", "doc_id", "lang"), "sample")
+    ends = sample.select("at", "doc_id", "lang", (F.length("words") / 4).cast("bigint").alias("n")).orderBy("at", "doc_id", "lang").limit(train_docs * 3 // 2).collect()
+    total = np.cumsum([r["n"] for r in ends], dtype=np.int64)
+    n = int(np.searchsorted(total, train_words, side="right"))
+    got = sample.filter(F.col("at") <= ends[n - 1]["at"]).collect() if n else []
+    drop_stored(sample)
+    got = sorted(got, key=lambda r: (r["doc_id"], r["at"], r["lang"] or ""))
+    words, y = [np.frombuffer(r["words"], np.int32) for r in got], np.array([int(r["toxic"] > 0) for r in got], int)
     held = np.array([zlib.crc32(b"calibrate %d" % r["doc_id"]) % 5 == 0 for r in got], bool)
     learnt = np.flatnonzero(~held)
     c = train([words[i] for i in learnt], y[learnt])
