@@ -66,6 +66,44 @@ class Grid:
             raise TypeError("no common length")
         return self.shape[0]
 
+    # Operators give new grids, so that g += x binds the name to another grid and changes no cell.
+    def __add__(self, other):
+        return _arith().add(self, other)
+
+    __radd__ = __add__
+
+    def __sub__(self, other):
+        return _arith().sub(self, other)
+
+    def __rsub__(self, other):
+        return _arith().sub(self, other, reflected=True)
+
+    def __mul__(self, other):
+        return _arith().mul(self, other)
+
+    __rmul__ = __mul__
+
+    def __truediv__(self, other):
+        return _arith().div(self, other)
+
+    def __rtruediv__(self, other):
+        return _arith().div(self, other, reflected=True)
+
+    def __pow__(self, other):
+        return _arith().power(self, other)
+
+    def __neg__(self):
+        return _arith().neg(self)
+
+    def __pos__(self):
+        return self
+
+
+def _arith():
+    from gridloom.operators import arith
+
+    return arith
+
 
 def per_axis(value: int | Sequence[int] | None, rank: int, default: Sequence[int], name: str) -> tuple[int, ...]:
     """A parameter with one whole number for each axis; any other length is an error."""

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from gridloom.grid import Grid
 
 
+NAN = float("nan")
+
+
 def _with(g: Grid, other: Grid | float, f: Callable[[Column, Column], Column], reflected: bool = False) -> Grid:
     if isinstance(other, Grid):
         if other.rank != g.rank or (g.shape and other.shape and g.shape != other.shape):
@@ -44,6 +47,11 @@ def power(g: Grid, other: Grid | float) -> Grid:
     return _with(g, other, lambda a, b: F.pow(a, b))
 
 
+def sqrt(g: Grid) -> Grid:
+    """Square root of each cell; NaN below zero."""
+    return g.with_df(g.df.withColumn("v", F.sqrt("v")))
+
+
 def neg(g: Grid) -> Grid:
     return g.with_df(g.df.withColumn("v", -F.col("v")))
 

@@ -7,15 +7,24 @@ survives lost executors. No operator collects vertices or edges; the driver sees
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import drop_stored, store
+from gridloom.session import drop_stored, store, store_counted
 
 ROUNDS = 10_000
 
 
+def _rounds(most: int | None, what: str):
+    """Round numbers from 1; beyond ``most``, if given, an error: no operator ends quietly unfinished."""
+    for k in count(1):
+        if most is not None and k > most:
+            raise RuntimeError(f"{what} did not end in {most} rounds")
+        yield k
+
+
 def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
 
@@ -50,24 +59,27 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     neighbour; the depth falls geometrically, so rounds grow with the logarithm of the diameter.
     """
     both = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("w"))
-    now = store(both.filter("u <> w").distinct(), "edges")
-    for _ in range(rounds):
-        n = 2 * now.count()
-        # a forest of stars: every vertex hangs on one other, or others hang on it
-        ends = now.select("u", F.lit(1).alias("k")).unionByName(now.select(F.col("w").alias("u")).distinct().withColumn("k", F.lit(0)))
-        if ends.groupBy("u").agg(F.sum("k").alias("up"), F.count_if(F.col("k") == 0).alias("down")).filter("up + down > 1").isEmpty():
+    now, seen = store_counted(both.filter("u <> w").distinct(), "edges")
+    for _ in _rounds(rounds, "components"):
+        n = 2 * seen.get("rows", 0)
+        if not n:
             break
         around = now.unionByName(now.select(F.col("w").alias("u"), F.col("u").alias("w")))
         # stored, so that the joins can split the side of a hub
-        least = store(around.groupBy("u").agg(F.min("w").alias("m")).withColumn("m", F.least("u", "m")), "least", n)
-        large = store(around.join(least, "u").filter("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).filter("u <> w").distinct(), "large", n)
+        least = around.groupBy("u").agg(F.min("w").alias("m"), F.count("*").alias("all"), F.count_if(F.col("w") < F.col("u")).alias("below"))
+        # a forest of stars: every vertex hangs on one other, or others hang on it
+        loose = F.count_if((F.col("below") > 0) & (F.col("all") > 1))
+        least, found = store_counted(least, "least", n, loose=loose)
+        if not found["loose"]:
+            drop_stored(least)
+            break
+        least_of = least.select("u", F.least("u", "m").alias("m"))
+        large = store(around.join(least_of, "u").filter("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).filter("u <> w").distinct(), "large", n)
         low = store(large.groupBy("u").agg(F.min("w").alias("m")), "low", n)
         hung = large.join(low, "u")
-        after = store(hung.select(F.col("w").alias("u"), F.col("m").alias("w")).unionByName(hung.select("u", F.col("m").alias("w"))).filter("u <> w").distinct(), "edges", n)
+        after, seen = store_counted(hung.select(F.col("w").alias("u"), F.col("m").alias("w")).unionByName(hung.select("u", F.col("m").alias("w"))).filter("u <> w").distinct(), "edges", n)
         drop_stored(now, least, large, low)
         now = after
-    else:
-        raise RuntimeError("components did not settle")
     hung = now.select(F.col("u").alias("v"), F.col("w").alias("component"))
     return vertices(edges).join(hung, "v", "left").withColumn("component", F.coalesce("component", "v"))
 
@@ -115,23 +127,30 @@ def euler_characteristic_of_cells(cells: list[int]) -> int:
     return sum(c * (-1) ** k for k, c in enumerate(cells))
 
 
-def distances(edges: DataFrame, source, rounds: int = ROUNDS, target=None) -> DataFrame:
+def distances(edges: DataFrame, source, rounds: int | None = None, target=None) -> DataFrame:
     """v, dist, pred: fewest edges from ``source``; of several predecessors the smallest. Stops at
     ``target`` if given. An unknown source gives no rows."""
     steps = store(edges.select("src", "dst").distinct(), "steps")
     start = vertices(edges).filter(F.col("v") == F.lit(source))
-    seen = store(start.select("v", F.lit(0).alias("dist"), F.lit(None).cast(dict(start.dtypes)["v"]).alias("pred")), "seen")
-    frontier = seen
-    for at in range(1, rounds + 1):
+    seen, found = store_counted(start.select("v", F.lit(0).alias("dist"), F.lit(None).cast(dict(start.dtypes)["v"]).alias("pred")), "seen", 1)
+    frontier, n, parts = seen, found.get("rows", 0), [seen]
+    if not n:
+        return seen
+    for at in _rounds(rounds, "distances"):
         reached = frontier.select(F.col("v").alias("src")).join(steps, "src").groupBy(F.col("dst").alias("v")).agg(F.min("src").alias("pred"))
-        fresh = store(reached.join(seen.select("v"), "v", "left_anti").select("v", F.lit(at).alias("dist"), "pred"), "frontier")
-        if fresh.isEmpty():
+        fresh = reached.join(seen.select("v"), "v", "left_anti").select("v", F.lit(at).alias("dist"), "pred")
+        fresh, found = store_counted(fresh, "frontier", hit=F.count_if(F.col("v") == F.lit(source if target is None else target)))
+        if not found.get("rows"):
+            drop_stored(fresh)
             break
-        seen = seen.unionByName(fresh)
-        if at % 8 == 0:
-            seen = store(seen, "seen")
-        frontier = fresh
-        if target is not None and not fresh.filter(F.col("v") == F.lit(target)).isEmpty():
+        n += found["rows"]
+        parts.append(fresh)
+        seen, frontier = seen.unionByName(fresh), fresh
+        if len(parts) == 8:
+            whole = store(seen, "seen", n)
+            drop_stored(*parts[:-1])
+            seen, parts = whole, [whole, fresh]
+        if target is not None and found.get("hit"):
             break
     return seen
 
@@ -156,29 +175,39 @@ def shortest_path(edges: DataFrame, source, target) -> list | None:
     return path[::-1]
 
 
-def topological_levels(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
-    """v, level: sources have level 0 and every edge leads to a higher level; None with a cycle."""
+def topological_levels(edges: DataFrame, rounds: int | None = None) -> DataFrame | None:
+    """v, level: sources have level 0 and every edge leads to a higher level; None with a cycle.
+
+    A graph where every vertex has at most one predecessor takes a number of rounds logarithmic in
+    its depth (:func:`path_levels`); others are peeled, one level a round."""
+    if edges.select("src", "dst").distinct().groupBy("dst").count().filter("count > 1").isEmpty():
+        levels = path_levels(edges)
+        return None if levels is None else levels.select("v", F.col("level").cast("int").alias("level"))
     rest = store(edges.select("src", "dst").distinct(), "rest")
-    every = store(vertices(edges), "vertices")
-    left, out, level = every, None, 0
-    while level < rounds:
-        if left.isEmpty():
-            break
-        free = store(left.join(rest.select(F.col("dst").alias("v")).distinct(), "v", "left_anti").withColumn("level", F.lit(level)), "level")
-        if free.isEmpty():
+    left, seen = store_counted(vertices(edges), "vertices")
+    out, parts, n = None, [], seen.get("rows", 0)
+    for k in _rounds(rounds, "topological levels"):
+        free = left.join(rest.select(F.col("dst").alias("v")).distinct(), "v", "left_anti").withColumn("level", F.lit(k - 1))
+        free, found = store_counted(free, "level", n)
+        if not found.get("rows"):
             return None
+        n -= found["rows"]
+        parts.append(free)
         out = free if out is None else out.unionByName(free)
+        if not n:
+            return out
         gone = free.select("v")
-        before, left = left, store(left.join(gone, "v", "left_anti"), "vertices")
+        before, left = left, store(left.join(gone, "v", "left_anti"), "vertices", n)
         old, rest = rest, store(rest.join(gone.withColumnRenamed("v", "src"), "src", "left_anti"), "rest")
         drop_stored(before, old)
-        level += 1
-        if level % 32 == 0:
+        if len(parts) == 32:
             out = store(out, "levels")
-    return out if out is not None else every.withColumn("level", F.lit(0))
+            drop_stored(*parts)
+            parts = [out]
+    return None
 
 
-def path_levels(edges: DataFrame, rounds: int = 64) -> DataFrame | None:
+def path_levels(edges: DataFrame) -> DataFrame | None:
     """Like :func:`topological_levels` where every vertex has at most one predecessor: doubling the
     distance each round, so a path of n vertices takes log n rounds."""
     up = store(edges.select(F.col("dst").alias("v"), F.col("src").alias("p")).distinct(), "up")
@@ -186,7 +215,7 @@ def path_levels(edges: DataFrame, rounds: int = 64) -> DataFrame | None:
         raise ValueError("a vertex has several predecessors")
     state = store(vertices(edges).join(up, "v", "left").withColumn("level", F.col("p").isNotNull().cast("bigint")), "doubling")
     n = state.count()
-    for _ in range(rounds):
+    while True:
         if state.filter("p is not null").isEmpty():
             return state.select("v", "level")
         above = state.select(F.col("v").alias("p"), F.col("p").alias("pp"), F.col("level").alias("more"))
@@ -194,7 +223,6 @@ def path_levels(edges: DataFrame, rounds: int = 64) -> DataFrame | None:
         drop_stored(old)
         if not state.filter(F.col("level") > n).isEmpty():
             return None
-    return None
 
 
 def topological_sort(edges: DataFrame) -> list | None:
@@ -207,7 +235,7 @@ def is_dag(edges: DataFrame) -> bool:
     return topological_levels(edges) is not None
 
 
-def strong_components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """v, component: vertices that reach each other share the smallest of them.
 
     Colouring: vertices without predecessors or successors are cut off as components of their own;
@@ -217,7 +245,10 @@ def strong_components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     todo = store(edges.select("src", "dst").filter("src <> dst").distinct(), "todo")
     every = store(vertices(edges), "vertices")
     done = None
-    for _ in range(rounds):
+    for _ in _rounds(rounds, "strong components"):
+        # a forest has no cycle, however deep it is: its depth costs a logarithm of rounds
+        if todo.groupBy("dst").count().filter("count > 1").isEmpty() and path_levels(todo) is not None:
+            break
         # cut off what cannot be on a cycle
         while True:
             ends = todo.select(F.col("src").alias("v")).distinct().join(todo.select(F.col("dst").alias("v")).distinct(), "v")

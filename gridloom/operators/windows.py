@@ -76,10 +76,10 @@ def _region(g: Grid, start: Sequence[int], end: Sequence[int] | None) -> DataFra
 def output_count(start: Sequence[int], end: Sequence[int], window: Sequence[int], d: Sequence[int], step: Sequence[int]) -> tuple[int, ...]:
     """Number of output cells along each axis."""
     out = []
-    for s, e, w, x, t in zip(start, end, window, d, step):
+    for k, (s, e, w, x, t) in enumerate(zip(start, end, window, d, step)):
         room = e - s - w - x
         if room < 0:
-            raise ValueError("effectless args.")
+            raise ValueError(f"axis {k}: no window fits between start {s} and end {e}")
         out.append(room // t + 1)
     return tuple(out)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -65,6 +66,14 @@ def store(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return back
 
 
+def store_counted(df: DataFrame, label: str, rows: int | None = None, **metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`store`, and what it counted on the way: ``rows`` and further aggregates, without a job
+    of their own."""
+    watch = Observation(f"{label}-{uuid.uuid4().hex}")
+    back = store(df.observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]), label, rows)
+    return back, watch.get
+
+
 def drop_stored(*frames: DataFrame) -> None:
     """Delete tables made by :func:`store` that nothing reads any more."""
     for df in frames:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -26,16 +27,19 @@ def write_grid(g: Grid, path: str, fmt: str = "parquet", mode: str = "errorifexi
 
 
 def decode_buffers(df: DataFrame, column: str, kind: str, shape, by=("tid",)) -> Grid:
-    """Binary columns of numbers of one struct format, row-major, as grids of ``shape``."""
+    """Binary columns of numbers of one struct format, row-major, as grids of ``shape``; a buffer of
+    another length fails the query."""
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind!r}")
     dtype = np.dtype({"n": "q", "N": "Q", "l": "q", "L": "Q"}.get(kind, kind)) if kind != "g" else np.dtype("longdouble")
-    names = list(by)
+    names, size = list(by), math.prod(shape)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*names).schema), "n bigint", "v double"])
 
     def run(frames):
         for pdf in frames:
             for row in pdf.itertuples(index=False):
+                if len(row[-1]) != size * dtype.itemsize:
+                    raise ValueError(f"a buffer of {len(row[-1])} bytes does not fit the shape")
                 v = np.frombuffer(row[-1], dtype).astype(float)
                 out = pd.DataFrame({"n": np.arange(len(v)), "v": v})
                 for k, name in enumerate(names):
