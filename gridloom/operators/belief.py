@@ -90,7 +90,10 @@ def probabilities(binds: DataFrame, pairs: DataFrame, strict: bool = False) -> D
     """outcome, condition, p, how: for every pair 1 if the two are the same, the belief (exact), with
     ``strict`` by Bayes (bayes), else the chain product (chain), else 0 (none)."""
     pairs = pairs.select("outcome", "condition").distinct()
-    got = store(exact(binds, pairs).withColumn("how", F.when(F.col("outcome") == F.col("condition"), "same").when(F.col("p").isNotNull(), "exact")), "exact")
+    got = exact(binds, pairs).withColumn("how", F.when(F.col("outcome") == F.col("condition"), "same").when(F.col("p").isNotNull(), "exact"))
+    got, found = store_counted(got, "exact", open=F.count_if(F.col("p").isNull()))
+    if not found.get("open"):
+        return got
     parts, open_ = [got.filter("p is not null")], got.filter("p is null").select("outcome", "condition")
     if strict:
         tried = store(bayes(binds, open_).withColumn("how", F.lit("bayes")), "bayes")

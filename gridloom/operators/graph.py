@@ -127,23 +127,62 @@ def euler_characteristic_of_cells(cells: list[int]) -> int:
     return sum(c * (-1) ** k for k, c in enumerate(cells))
 
 
+#: Rows of a frontier, or of the vertices seen, up to which they are broadcast: they are counted.
+SMALL = 100_000
+
+
+def _little(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SMALL else df
+
+
+def _one_way_in(steps: DataFrame) -> bool:
+    """Has every vertex at most one predecessor?"""
+    return steps.groupBy("dst").count().filter("count > 1").isEmpty()
+
+
+def _hang(up: DataFrame, n: int) -> DataFrame:
+    """v, root, level for (v, p), every vertex with its only predecessor or null, by doubling the
+    distance each round; vertices that hang on a cycle have root null."""
+    state = store(up.select("v", "p", F.when(F.col("p").isNull(), F.col("v")).alias("root"), F.col("p").isNotNull().cast("bigint").alias("level")), "doubling")
+    for _ in range(max(n, 1).bit_length() + 1):
+        above = state.select(F.col("v").alias("p"), F.col("p").alias("pp"), F.col("root").alias("top"), F.col("level").alias("more"))
+        next_, found = store_counted(
+            state.join(above, "p", "left").select("v", F.col("pp").alias("p"), F.coalesce("root", "top").alias("root"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")),
+            "doubling",
+            open=F.count_if(F.col("p").isNotNull()),
+        )
+        drop_stored(state)
+        state = next_
+        if not found.get("open"):
+            break
+    return state.select("v", "root", "level")
+
+
 def distances(edges: DataFrame, source, rounds: int | None = None, target=None) -> DataFrame:
     """v, dist, pred: fewest edges from ``source``; of several predecessors the smallest. Stops at
-    ``target`` if given. An unknown source gives no rows."""
+    ``target`` if given. An unknown source gives no rows. Rounds follow the depth, but where no vertex
+    has two predecessors their number is logarithmic in it."""
     steps = store(edges.select("src", "dst").distinct(), "steps")
     start = vertices(edges).filter(F.col("v") == F.lit(source))
     seen, found = store_counted(start.select("v", F.lit(0).alias("dist"), F.lit(None).cast(dict(start.dtypes)["v"]).alias("pred")), "seen", 1)
     frontier, n, parts = seen, found.get("rows", 0), [seen]
     if not n:
         return seen
+    if _one_way_in(steps):
+        every = vertices(steps)
+        up = steps.filter(F.col("dst") != F.lit(source)).select(F.col("dst").alias("v"), F.col("src").alias("p"))
+        hung = _hang(every.join(up, "v", "left"), every.count()).filter(F.col("root") == F.lit(source))
+        return hung.join(up, "v", "left").select("v", F.col("level").cast("int").alias("dist"), F.col("p").alias("pred"))
+    new = n
     for at in _rounds(rounds, "distances"):
-        reached = frontier.select(F.col("v").alias("src")).join(steps, "src").groupBy(F.col("dst").alias("v")).agg(F.min("src").alias("pred"))
-        fresh = reached.join(seen.select("v"), "v", "left_anti").select("v", F.lit(at).alias("dist"), "pred")
+        reached = _little(frontier.select(F.col("v").alias("src")), new).join(steps, "src").groupBy(F.col("dst").alias("v")).agg(F.min("src").alias("pred"))
+        fresh = reached.join(_little(seen.select("v"), n), "v", "left_anti").select("v", F.lit(at).alias("dist"), "pred")
         fresh, found = store_counted(fresh, "frontier", hit=F.count_if(F.col("v") == F.lit(source if target is None else target)))
-        if not found.get("rows"):
+        new = found.get("rows", 0)
+        if not new:
             drop_stored(fresh)
             break
-        n += found["rows"]
+        n += new
         parts.append(fresh)
         seen, frontier = seen.unionByName(fresh), fresh
         if len(parts) == 8:
@@ -166,13 +205,15 @@ def shortest_path(edges: DataFrame, source, target) -> list | None:
     if source == target:
         return [source]
     seen = store(distances(edges, source, target=target), "paths")
-    path = [target]
-    while path[-1] != source:
-        row = seen.filter(F.col("v") == F.lit(path[-1])).first()
-        if row is None:
-            return None
-        path.append(row["pred"])
-    return path[::-1]
+    end = seen.filter(F.col("v") == F.lit(target)).first()
+    if end is None:
+        return None
+    # the vertices on the way back, found by doubling the distance each round
+    back, on = seen.select("v", F.col("pred").alias("p")), seen.filter(F.col("v") == F.lit(target)).select("v")
+    for _ in range(int(end["dist"]).bit_length()):
+        on = store(on.unionByName(on.join(back, "v").filter("p is not null").select(F.col("p").alias("v"))), "on")
+        back = store(back.join(back.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p", "left").select("v", F.col("pp").alias("p")), "back")
+    return [r["v"] for r in seen.join(on.distinct(), "v").orderBy("dist").collect()]
 
 
 def topological_levels(edges: DataFrame, rounds: int | None = None) -> DataFrame | None:
@@ -180,7 +221,7 @@ def topological_levels(edges: DataFrame, rounds: int | None = None) -> DataFrame
 
     A graph where every vertex has at most one predecessor takes a number of rounds logarithmic in
     its depth (:func:`path_levels`); others are peeled, one level a round."""
-    if edges.select("src", "dst").distinct().groupBy("dst").count().filter("count > 1").isEmpty():
+    if _one_way_in(edges.select("src", "dst").distinct()):
         levels = path_levels(edges)
         return None if levels is None else levels.select("v", F.col("level").cast("int").alias("level"))
     rest = store(edges.select("src", "dst").distinct(), "rest")
@@ -213,16 +254,9 @@ def path_levels(edges: DataFrame) -> DataFrame | None:
     up = store(edges.select(F.col("dst").alias("v"), F.col("src").alias("p")).distinct(), "up")
     if not up.groupBy("v").count().filter("count > 1").isEmpty():
         raise ValueError("a vertex has several predecessors")
-    state = store(vertices(edges).join(up, "v", "left").withColumn("level", F.col("p").isNotNull().cast("bigint")), "doubling")
-    n = state.count()
-    while True:
-        if state.filter("p is not null").isEmpty():
-            return state.select("v", "level")
-        above = state.select(F.col("v").alias("p"), F.col("p").alias("pp"), F.col("level").alias("more"))
-        old, state = state, store(state.join(above, "p", "left").select("v", F.col("pp").alias("p"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "doubling")
-        drop_stored(old)
-        if not state.filter(F.col("level") > n).isEmpty():
-            return None
+    every = vertices(edges)
+    levels = _hang(every.join(up, "v", "left"), every.count())
+    return levels.select("v", "level") if levels.filter("root is null").isEmpty() else None
 
 
 def topological_sort(edges: DataFrame) -> list | None:
@@ -247,7 +281,7 @@ def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     done = None
     for _ in _rounds(rounds, "strong components"):
         # a forest has no cycle, however deep it is: its depth costs a logarithm of rounds
-        if todo.groupBy("dst").count().filter("count > 1").isEmpty() and path_levels(todo) is not None:
+        if _one_way_in(todo) and path_levels(todo) is not None:
             break
         # cut off what cannot be on a cycle
         while True:
