@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
+    """Bound the rows and bytes of an Arrow batch, so that a batch of long texts fits a Python worker
+    and the executor's buffers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+
+
+def tidy(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; afterwards the worker, which serves other stages too, calls
+    ``forget`` (a function of a module, so that it meets the worker's own caches) and gives its free
+    memory back."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not this C library
+                pass
+
+    return tidied
 
 
 def crc_of_id(col: str | Column) -> Column:

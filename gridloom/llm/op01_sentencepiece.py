@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches, table, text_of
+from gridloom.llm.common import small_batches, table, text_of, tidy
 
 _MARK = "▁"
 _UNKNOWN_COST = 10.0
@@ -189,7 +189,7 @@ def encode(docs: DataFrame, path: str, scores: str | None = None, keep: tuple[st
             same = pa.array([m.decode(c) == t for c, t in zip(codes, texts)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids, pa.array(sizes), same], names=[*keep, "ids", "n_tokens", "round_trip"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -203,7 +203,7 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
             texts = [m.decode(np.array(x, np.int32)) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _path() -> str:

@@ -98,8 +98,8 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, train_docs: int) -> Vocabulary:
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     tokens = int(total or 0) + train_docs
-    frequent = counts.filter(F.col("c") >= max(1, math.ceil(DICTIONARY * tokens))).collect()
-    frequent = sorted(((int(r["c"]), bytes(r["word"])) for r in frequent), key=lambda x: (-x[0], x[1]))
+    frequent = counts.filter(F.col("c") >= max(1, math.ceil(DICTIONARY * tokens))).select("word", "c").toArrow()  # at most 1/DICTIONARY rows
+    frequent = sorted(zip(frequent["c"].to_numpy().tolist(), frequent["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
     least = max(1, math.ceil(SYMBOL * tokens))
     n_symbols = sum(c >= least for c, _ in frequent)
     mass = np.full(n_symbols + CLASSES + 1, ADD)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc_of_id, drop_stored, small_batches, store, table, text_of
+from gridloom.llm.common import crc_of_id, drop_stored, small_batches, store, table, text_of, tidy
 
 TRAIN_DOCS = 6_000
 TRAIN_WORDS = 4_000_000
@@ -47,6 +47,10 @@ _CACHE = 120_000
 _known: dict[str, int] = {}
 
 
+def _forget() -> None:
+    _known.clear()
+
+
 def word_ids(text: str) -> np.ndarray:
     """Bucket of each word; BUCKETS is the blank word, the only one of an empty text."""
     if len(_known) > _CACHE:
@@ -224,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text").alias("text"), lang.cast("string").alias("lang"))
     # the sample's ids are bounded by train_docs
     sample = rows.join(F.broadcast(marked), F.col("doc_id") == F.col("id")).select(F.xxhash64("doc_id", "text").alias("at"), "doc_id", "lang", F.col("toxic").cast("int").alias("toxic"), "text")
-    sample = sample.mapInArrow(_as_words, "at bigint, doc_id bigint, lang string, toxic int, words binary")
+    sample = sample.mapInArrow(tidy(_as_words, _forget), "at bigint, doc_id bigint, lang string, toxic int, words binary")
     sample = store(sample.sortWithinPartitions("at", "doc_id", "lang"), "sample")
     ends = sample.select("at", "doc_id", "lang", (F.length("words") / 4).cast("bigint").alias("n")).orderBy("at", "doc_id", "lang").limit(train_docs * 3 // 2).collect()
     total = np.cumsum([r["n"] for r in ends], dtype=np.int64)
@@ -274,7 +278,7 @@ def classify(docs: DataFrame, c: Classifier, keep: list[str], lang: str | None =
             limits = [m.thresholds.get(x, m.thresholds[None]) for x in batch.column(len(keep) + 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(scores)), pa.array(limits, pa.float64())], names=[*keep, "gl_score", "gl_threshold"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run, _forget), schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

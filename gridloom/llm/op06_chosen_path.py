@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_stored, few, fresh, once_each, partitions, small_batches, store, table, text_of
+from gridloom.llm.common import drop_stored, few, fresh, once_each, partitions, small_batches, store, table, text_of, tidy
 from gridloom.operators.graph import components
 
 NGRAM = 5
@@ -81,6 +81,10 @@ _B = _rng.integers(0, 2**63, T, dtype=np.uint64)
 _words: dict[bytes, int] = {}
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -402,7 +406,7 @@ def _large_links(spark: SparkSession, whole: DataFrame, threshold: float, ngram:
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
     whole = store(whole.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")), "large")
     first = whole.filter("piece = 0").select("comp", "pieces", "id", "text")
-    centres = first.select("comp", "id", "text").repartition(n, "comp").sortWithinPartitions("comp", "id").mapInArrow(_centre(ngram), "comp bigint, body binary")
+    centres = first.select("comp", "id", "text").repartition(n, "comp").sortWithinPartitions("comp", "id").mapInArrow(tidy(_centre(ngram), _forget), "comp bigint, body binary")
     counts = whole.groupBy("comp").agg(F.max("pieces").alias("pieces"))
     # a piece without a centre's row (its piece 0 is empty) has an empty centre
     heads = store(counts.join(centres, "comp", "left"), "centres")
@@ -410,7 +414,7 @@ def _large_links(spark: SparkSession, whole: DataFrame, threshold: float, ngram:
     heads = heads.select("comp", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("kind"), null.alias("id"), null.alias("copies"), F.coalesce("body", F.lit(b"")).alias("body"))
     rows = heads.unionByName(whole.select("comp", "piece", F.lit(1).alias("kind"), "id", "copies", F.col("text").alias("body")))
     rows = rows.repartition(n, "comp", "piece").sortWithinPartitions("comp", "piece", "kind", "id")
-    diffs = store(rows.mapInArrow(_differences(threshold, ngram), _DIFFERENCES), "differences")
+    diffs = store(rows.mapInArrow(tidy(_differences(threshold, ngram), _forget), _DIFFERENCES), "differences")
     zone = F.col("zone")
     blocks = [F.greatest(F.ceil(F.count_if(zone == z) / wide), F.ceil(F.sum(F.when(zone == z, F.col("bytes")).otherwise(0)) / WIDE_BYTES)).cast("int").alias(f"b{z}") for z in (0, 1, 2)]
     core = F.when(zone == 2, F.col("copies"))
@@ -426,7 +430,7 @@ def _large_links(spark: SparkSession, whole: DataFrame, threshold: float, ngram:
     pairs = F.transform(others, lambda o: F.struct(F.least("mine", o).alias("bi"), F.greatest("mine", o).alias("bj"), (F.col("mine") > o).cast("int").alias("side")))
     dealt = dealt.withColumn("mine", mine).withColumn("p", F.explode(pairs)).select("comp", "p.bi", "p.bj", "p.side", "id", "copies", "size", "gone", "base", "diff")
     dealt = dealt.repartition(n, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "side", "id")
-    out = store(inner.unionByName(dealt.mapInArrow(_verify_blocks(threshold), _EXACT_SQL)), "exact")
+    out = store(inner.unionByName(dealt.mapInArrow(tidy(_verify_blocks(threshold)), _EXACT_SQL)), "exact")
     drop_stored(whole, diffs)
     return out
 
@@ -472,7 +476,7 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float
         dealt = met.filter(strangers <= small).select("node", "id", main.alias("main"), F.explode(F.when(main, F.array(mine)).otherwise(F.sequence(F.lit(0), salts - 1))).alias("salt"))
         dealt = dealt.join(sigs, "id").select("node", "salt", "main", "id", "sig")
         near = dealt.repartition(n, "node", "salt").sortWithinPartitions("node", "salt")
-        near = store(few(near, 4 * met.count(), 20_000).mapInArrow(_brute, "id bigint, to bigint").distinct(), "near", some)
+        near = store(few(near, 4 * met.count(), 20_000).mapInArrow(tidy(_brute), "id bigint, to bigint").distinct(), "near", some)
         links = near if links is None else links.unionByName(near)
         many = met.filter(strangers > small)
         count = many.count()
@@ -501,7 +505,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, r
     text = text_of("text")
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
     rows = named.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "th", "text")
-    seen = store(rows.mapInArrow(_describe(ngram), "rid bigint, doc_id bigint, th bigint, size bigint, name binary, sig binary"), "sets")
+    seen = store(rows.mapInArrow(tidy(_describe(ngram), _forget), "rid bigint, doc_id bigint, th bigint, size bigint, name binary, sig binary"), "sets")
     first = F.min(F.struct(F.col("rid").alias("id"), F.col("doc_id"), F.col("th"), F.col("sig")))
     reps = seen.filter("size > 0").groupBy("name").agg(first.alias("f"), F.count("*").alias("copies"), F.min("doc_id").alias("low"))
     reps = store(reps.select("name", "f.*", "copies", "low"), "reps")
@@ -517,7 +521,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, r
         return named.join(side, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).select("comp", "n", "id", "copies", "text")
 
     dealt = whole(member.filter(F.col("n") <= block)).select("comp", "id", "copies", "text").repartition(n, "comp").sortWithinPartitions("comp", "id")
-    exact = store(dealt.mapInArrow(_verify(threshold, ngram), _EXACT_SQL), "exact")
+    exact = store(dealt.mapInArrow(tidy(_verify(threshold, ngram), _forget), _EXACT_SQL), "exact")
     if large:
         exact = exact.unionByName(_large_links(spark, whole(member.filter(F.col("n") > block)), threshold, ngram, wide))
     links = exact.groupBy("id").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))

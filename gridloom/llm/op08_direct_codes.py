@@ -241,7 +241,6 @@ def _segments(path: str, end_id: int, segment_ids: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seg, start = encoder(path), TaskContext.get().partitionId(), 0, 0
-        gc.disable()  # millions of short-lived lists and strings, none of them in a cycle
         ids: list[int | None] = []
         parts: list[bytes] = []
         held = 0
@@ -251,25 +250,28 @@ def _segments(path: str, end_id: int, segment_ids: int):
             row = {"part": part, "seg": seg, "start": start, "n": held, "doc_ids": ids, "doc_lens": lens, "levels": pack(np.frombuffer(b"".join(parts), "<u4"))}
             return pa.RecordBatch.from_pylist([row], schema=shape)
 
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc_id, code in zip(doc_ids, encode(texts)):
-                ids.append(doc_id)
-                parts.append(code + end)
-                held += len(parts[-1]) // 4
-                if held >= segment_ids:
-                    yield segment()
-                    seg, start, held, ids, parts = seg + 1, start + held, 0, [], []
-        if ids:
-            yield segment()
-        gc.enable()
+        gc.disable()  # millions of short-lived lists and strings, none of them in a cycle
+        try:
+            for batch in batches:
+                doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for doc_id, code in zip(doc_ids, encode(texts)):
+                    ids.append(doc_id)
+                    parts.append(code + end)
+                    held += len(parts[-1]) // 4
+                    if held >= segment_ids:
+                        yield segment()
+                        seg, start, held, ids, parts = seg + 1, start + held, 0, [], []
+            if ids:
+                yield segment()
+        finally:  # the worker goes on to other tasks, also if this one is killed
+            gc.enable()
 
     return run
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode all texts in ascending doc_id order and write them to ``path``."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000, 16)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text").alias("text"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     rows.mapInArrow(_segments(tokenizer, end_id, segment_ids), SCHEMA).write.option("compression", "uncompressed").parquet(path)

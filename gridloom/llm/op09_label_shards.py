@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_stored, store, table, text_of
+from gridloom.llm.common import drop_stored, fresh, identified, store, table, text_of
 
 SHARDS = 16
 BUCKET = 5_000
@@ -74,13 +74,16 @@ def _quota(pairs: dict[tuple[int, int], int]) -> Column:
 def label_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, linked: one row a document."""
     raw = text_of("text")
-    rows = docs.select(
+    file, row = fresh(docs, "gl_file", "gl_row")
+    rows = identified(docs, file, row).select(
+        F.col(row).alias("at"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         (F.octet_length(raw) + 1).cast("bigint").alias("size"),
         F.crc32(raw.cast("binary")).cast("bigint").alias("text_crc32"),
         F.unhex(F.sha2(raw, 256)).alias("group"),
     )
-    rows = rows.withColumn("k", F.xxhash64("doc_id", "text_crc32", "size"))
+    # with the place in the file, so that many equal rows do not share a bucket
+    rows = rows.withColumn("k", F.xxhash64("doc_id", "text_crc32", "size", "at")).drop("at")
     rows = store(rows, "shard-rows")
     total = rows.count()
     # stored, here and below, so that the join can split the side of a large group

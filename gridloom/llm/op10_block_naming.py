@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACE, drop_stored, once_each, partitions, small_batches, store, table, text_of
+from gridloom.llm.common import SPACE, drop_stored, once_each, partitions, small_batches, store, table, text_of, tidy
 
 BLOCK = 4096
 _PLACES = "array<struct<rid: bigint, pos: int, doc_id: bigint, n_chars: bigint, sha: binary>>"
@@ -89,7 +89,7 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _level(rows: DataFrame, cut, size: int) -> DataFrame:
     n = partitions(rows.sparkSession)
-    reported = store(rows.mapInArrow(_report(cut, size), f"block binary, places {_PLACES}").withColumn("ref", F.monotonically_increasing_id()), "reported")
+    reported = store(rows.mapInArrow(tidy(_report(cut, size)), f"block binary, places {_PLACES}").withColumn("ref", F.monotonically_increasing_id()), "reported")
     names = reported.select("block", "ref").repartition(n, "block").sortWithinPartitions("block").mapInArrow(_name, "ref bigint, name bigint")
     named = (
         reported.select("ref", "places")
