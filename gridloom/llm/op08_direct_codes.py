@@ -95,20 +95,20 @@ class Encoder:
                 if len(piece) < 32:
                     self.rest[piece] = ids.tobytes()
 
-    def _learn(self, stems: list[str]) -> None:
-        """Encode words that follow a space, many in one string: each begins with the only spaced
-        token it has."""
-        for at in range(0, len(stems), 256):
-            some = stems[at : at + 256]
-            ids = self._plain(["".join(some)])[0]
+    def _learn(self, words: list[str]) -> None:
+        """Encode words as they stand after a space, many in one string: each begins with the only
+        spaced token it has."""
+        new = self.new
+        for at in range(0, len(words), 1024):
+            some = words[at : at + 1024]
+            ids = self._plain([" " + " ".join(some)])[0]
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(some):
                 code, edges = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                for k, stem in enumerate(some):
-                    self.new[stem[1:]] = code[edges[k] : edges[k + 1]]
+                new.update(zip(some, [code[x:y] for x, y in zip(edges, edges[1:])]))
             else:
-                for stem, own in zip(some, self._plain(some)):
-                    self.new[stem[1:]] = own.tobytes()
+                for word, own in zip(some, self._plain([" " + w for w in some])):
+                    new[word] = own.tobytes()
 
     def _fill(self, missing: set[str]) -> None:
         """Have all pieces but the odd ones, after which a space is no place to cut."""
@@ -118,7 +118,7 @@ class Encoder:
         missing -= again
         self.long = self.long or max(map(len, missing), default=0) >= 64
         words = [p for p in missing if p.isalpha()]
-        stems, pointed, cut, lines = {" " + p for p in words}, [], {}, []
+        stems, pointed, cut, lines = set(words), [], {}, []
         for piece in missing.difference(words):
             if piece[:1] == "\n":
                 # begins a line and follows no space
@@ -127,11 +127,11 @@ class Encoder:
             elif piece[-1:] in (".", ",") and piece[:-1].isalpha() and piece[-2] < "\u0100":
                 pointed.append(piece)
                 if piece[:-1] not in new:
-                    stems.add(" " + piece[:-1])
+                    stems.add(piece[:-1])
             elif piece and not _ODD_END.search(piece):
                 parts = cut[piece] = _IN_PIECE.split(" " + piece)
                 if parts[0][1:] not in new and _STEM.fullmatch(parts[0]):
-                    stems.add(parts[0])
+                    stems.add(parts[0][1:])
         self._learn(list(stems))
         first = {p[1:-1] if p[-1] in ".,-" and p[1:-1].isalpha() and p[-2] < "\u0100" else p[1:] for p in lines}
         self._others([x for x in first if x not in self.rest])
@@ -161,8 +161,9 @@ class Encoder:
             pieces = text.split(" ")
             codes = list(map(get, pieces))
             codes[0] = b""  # follows no space
-            gaps = [i for i, c in enumerate(codes) if c is None]
-            missing.update([pieces[i] for i in gaps])
+            gaps = [i for i, c in enumerate(codes) if c is None] if None in codes else ()
+            if gaps:
+                missing.update([pieces[i] for i in gaps])
             rows.append((whole, pieces, codes, gaps))
         self._fill(missing)
         new, out = self.new, []
