@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc_of_id, drop_stored, small_batches, store, table, text_of
+from gridloom.llm.common import crc_of_id, drop_stored, small_batches, store, table, text_of, tidy
 
 DICTIONARY = 1e-6
 SYMBOL = 5e-5
@@ -225,7 +225,7 @@ def frequent_runs(symbols: DataFrame, tokens: int, end: int, support: float = SU
     spark = symbols.sparkSession
     parts = max(1, int(tokens * support / _CHUNK))
     symbols = symbols.coalesce(parts)
-    found = store(symbols.mapInArrow(_candidates(support, end), "k int, run bigint").distinct(), "runs")
+    found = store(symbols.mapInArrow(tidy(_candidates(support, end)), "k int, run bigint").distinct(), "runs")
     passes = max(1, -(-found.count() // PASS_RUNS))
     frequent = []
     for i in range(passes):
@@ -235,7 +235,7 @@ def frequent_runs(symbols: DataFrame, tokens: int, end: int, support: float = SU
         for k in range(DEPTH, 0, -1):  # a run is met by way of its prefixes
             sets[k - 1] = np.union1d(sets[k - 1], sets[k] >> _BITS)
         shared = spark.sparkContext.broadcast(sets)
-        counted = symbols.mapInArrow(_count_runs(shared, end), "k int, run bigint, n bigint")
+        counted = symbols.mapInArrow(tidy(_count_runs(shared, end)), "k int, run bigint, n bigint")
         counted = counted.groupBy("k", "run").agg(F.sum("n").alias("n")).filter(F.col("n") >= support * tokens).toPandas()
         shared.unpersist()
         # prefixes that are candidates of another pass are counted there
@@ -344,14 +344,14 @@ def score(docs: DataFrame) -> DataFrame:
     held = F.pmod(crc_of_id("doc_id"), F.lit(10)) == 0
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), text_of("text").cast("binary").alias("text"))
     train = rows.filter("not held_out")
-    counts = store(train.select("text").mapInArrow(_count_words, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    counts = store(train.select("text").mapInArrow(tidy(_count_words), "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
     v = vocabulary(counts, train.count())
     shared = spark.sparkContext.broadcast(v)  # at most 1/DICTIONARY words
     schema = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inside double, symbols binary, rare array<binary>"
-    coded = store(rows.mapInArrow(_encode(shared), schema), "coded")
+    coded = store(rows.mapInArrow(tidy(_encode(shared)), schema), "coded")
     runs = frequent_runs(coded.filter("not held_out").select("symbols"), v.tokens, v.end)
     model = spark.sparkContext.broadcast((grow(v, runs), v.mass, v.n_symbols, v.end))
-    tree = coded.select("rid", "symbols").mapInArrow(_score(model), "rid bigint, tree double")
+    tree = coded.select("rid", "symbols").mapInArrow(tidy(_score(model)), "rid bigint, tree double")
     # the words outside the dictionary, with their counts
     rare = coded.select("rid", F.explode("rare").alias("word")).join(counts, "word", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))
