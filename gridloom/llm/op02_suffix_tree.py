@@ -1,57 +1,58 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-Words are lower-cased A-Z and split at white space; an end follows each document. A word with at
-least SYMBOL of all training tokens is a symbol of its own; all others share CLASSES symbols by
-their last three bytes, and a word's share of its class is (c + 0.1) over the class's sum, with 0.1
-kept for words never seen. So the alphabet is bounded and every word has a probability.
-
-The tree: contexts are runs of one to three symbols. All runs of up to four symbols that make up at
-least SUPPORT of the training tokens are counted exactly, in two passes: a run that is frequent in
-the whole is frequent in at least one chunk of the corpus, so the first pass finds candidates and
-the second counts them everywhere. A context stays if the log-likelihood its own next-symbol
-distribution gains over that of its longest kept suffix (the divergence of the two times the
-context's count) pays for its entries, at half the logarithm of the corpus for each. Distributions
-are smoothed: an entry's count less DISCOUNT over the context's count, and what is left over goes to
-the suffix's distribution, down to the smoothed word frequencies. Scoring takes the longest kept
-context at each word.
-
-At scale: word counts and the counts of rare words are shuffled and grow with the corpus. What is
-broadcast is bounded by parameters, whatever the corpus: at most 1/DICTIONARY words, 1/SYMBOL +
-CLASSES + 1 symbols, and about PASS_RUNS candidate runs with their prefixes. More candidates are
-counted in more passes over the text; SUPPORT stays. Words outside the dictionary are rare by its
-definition, so the join that fetches their counts has no hot key.
+Words are lower-cased A-Z and split at white space; an end follows each document. The root gives each
+word its smoothed share of the training tokens. A context is a run of one to DEPTH words that occurs
+at least MIN times in the training documents, anywhere in the corpus: an absolute number, so the tree
+grows with the corpus. Every word that followed a context is an entry of it, whatever its count.
+Distributions are smoothed by the suffix's: (n(context, word) + MU * P(word | suffix)) /
+(n(context) + MU). The divergence test keeps a context if it predicts its own occurrences, each left
+out of its counts, better than its suffix does: the sum over them of the logarithm of the two
+probabilities' ratio is above MARGIN. Scoring takes the longest kept context at each word.
+
+At scale nothing of the tree is broadcast or collected. Documents are encoded in chunks of about CHUNK
+tokens. A chunk asks for totals: its distinct runs, each once with its count in the chunk, go as sorted
+blobs to the part their hash falls in; the part adds them over all chunks and answers each blob in its
+order. So no run is a hot key, and a part holds about PART tokens' runs at any size. Round k asks for
+runs of k + 1 words after contexts that round k - 1 found MIN times, and for the test of contexts of
+k - 1 words. Chunks lie bucketed, so that only questions and answers are shuffled. Broadcast are the
+words with at least DICTIONARY of all tokens, at most 1/DICTIONARY of them.
+
+Runs are told apart by a hash with 2**SPARE times as many values as 4 x the tokens, so that a run
+meets another one's hash with a chance of about 2**-SPARE; words outside the dictionary have 44 bits.
+That touches ``score`` only: the base columns count words themselves.
 
 Defined results: null text is empty text, which is one end; null and repeated doc_ids are documents
 like others (a null id counts as empty text in the hash); without training documents all counts
-are 0; an empty table gives an empty result; further columns are ignored.
+are 0 and both scores are 0; an empty table gives an empty result; further columns are ignored. A
+document longer than CHUNK is a chunk by itself.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc_of_id, drop_stored, small_batches, store, table, text_of, tidy
+from gridloom.llm.common import crc_of_id, drop_stored, new_path, partitions, small_batches, store, table, text_of, tidy
 
 DICTIONARY = 1e-6
-SYMBOL = 5e-5
-CLASSES = 4096
-SUPPORT = 5e-6
-PASS_RUNS = 2_000_000
-DISCOUNT = 0.75
 DEPTH = 3
+MIN = 2
+MU = 4.0
+MARGIN = 0.0
 ADD = 0.1
-_BITS = 15  # 1/SYMBOL + CLASSES + 1 < 2**15, so a run of four symbols is one 64-bit key
-_CHUNK = 20  # a chunk has about this many occurrences of a run at the threshold
+CHUNK = 1_000_000
+PART = 500_000
+SPARE = 16
+_RARE = 1 << 20  # ids of words outside the dictionary start here
 _FLUSH = 400_000
 
 
@@ -59,10 +60,6 @@ def _words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % CLASSES
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
@@ -79,20 +76,21 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """Frequent words with their counts, and the alphabet of the tree."""
+    """Frequent words with their counts; id 0 is the end, id i the i-th word."""
 
     words: list[bytes]
     counts: np.ndarray
-    symbols: np.ndarray  # of the dictionary's words
-    n_symbols: int  # own symbols; then the classes, then the end
-    mass: np.ndarray  # base mass of every symbol
     tokens: int  # N, with ends
     distinct: int  # V, with the end
     ends: int
 
     @property
-    def end(self) -> int:
-        return self.n_symbols + CLASSES
+    def norm(self) -> float:
+        return self.tokens + ADD * (self.distinct + 1)
+
+    @property
+    def bits(self) -> int:
+        return min(60, math.ceil(math.log2(4 * self.tokens + 4)) + SPARE)
 
 
 def vocabulary(counts: DataFrame, train_docs: int) -> Vocabulary:
@@ -100,242 +98,235 @@ def vocabulary(counts: DataFrame, train_docs: int) -> Vocabulary:
     tokens = int(total or 0) + train_docs
     frequent = counts.filter(F.col("c") >= max(1, math.ceil(DICTIONARY * tokens))).select("word", "c").toArrow()  # at most 1/DICTIONARY rows
     frequent = sorted(zip(frequent["c"].to_numpy().tolist(), frequent["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
-    least = max(1, math.ceil(SYMBOL * tokens))
-    n_symbols = sum(c >= least for c, _ in frequent)
-    mass = np.full(n_symbols + CLASSES + 1, ADD)
-    mass[:n_symbols] += [c for c, _ in frequent[:n_symbols]]
-    suffix = F.when(F.length("word") > 3, F.expr("substring(word, -3)")).otherwise(F.col("word"))
-    rare = counts.filter(F.col("c") < least).groupBy(F.pmod(F.crc32(suffix), F.lit(CLASSES)).alias("k"))
-    for r in rare.agg(F.sum(F.col("c") + F.lit(ADD)).alias("m")).collect():  # at most CLASSES rows
-        mass[n_symbols + r["k"]] += r["m"]
-    mass[-1] = train_docs + ADD
-    words = [w for _, w in frequent]
-    symbols = np.array([i if i < n_symbols else n_symbols + _class(w) for i, w in enumerate(words)], np.int16)
-    return Vocabulary(words, np.array([c for c, _ in frequent], np.int64), symbols, n_symbols, mass, tokens, int(distinct) + (train_docs > 0), train_docs)
-
-
-def _encode(vocab):
+    return Vocabulary([w for _, w in frequent], np.array([c for c, _ in frequent], np.int64), tokens, int(distinct) + (train_docs > 0), train_docs)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Eight-byte numbers, compressed byte place by byte place."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, n: int, kind: type) -> np.ndarray:
+    raw = pa.decompress(blob, decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(kind).ravel()
+
+
+_CODED = "chunk bigint, rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, rare array<binary>, ids binary, rids array<bigint>, lengths array<bigint>, held array<boolean>"
+
+
+def _encode(vocab, size: int):
+    """A row for each document, and one for each chunk with the word ids of its documents."""
     state: dict = {}
-    shape = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("inside", pa.float64()), ("symbols", pa.binary()), ("rare", pa.list_(pa.binary()))])
+    types = [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+    names = [c.split()[0] for c in _CODED.split(", ")]
+
+    def batch_of(docs: list[tuple], ids: list[np.ndarray]) -> pa.RecordBatch:
+        chunk, none = docs[0][0], [None] * len(docs)
+        whole = [_pack(np.concatenate(ids))]
+        own = [[d[0] for d in docs]], [[d[3] for d in docs]], [[d[2] for d in docs]]
+        columns = [[chunk] * (len(docs) + 1), *([*c, None] for c in zip(*docs)), none + whole, *(none + c for c in own)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
         if not state:
-            state["at"] = {w: i for i, w in enumerate(v.words)}
-            state["log"] = np.log10(np.append(v.counts, 0) + ADD)  # the last is a word outside
-            state["symbols"] = np.append(v.symbols, -1).astype(np.int16)
-        get, logs, symbols = state["at"].get, state["log"], state["symbols"]
-        end_log = math.log10(v.ends + ADD)
+            state["at"] = {w: i for i, w in enumerate(v.words, 1)}
+            state["log"] = np.log10(np.concatenate([[v.ends], v.counts]) + ADD)
+        get, logs = state["at"].get, state["log"]
+        docs, held_back, n = [], [], 0
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
-            for text in batch.column(3).to_pylist():
+            for rid, doc_id, held, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 words = _words(text)
-                ids = np.array([get(w, -1) for w in words], np.int64)
+                ids = np.array([get(w, -1) for w in words] + [0], np.int64)
                 outside = np.flatnonzero(ids < 0)
                 rare = [words[i] for i in outside.tolist()]
-                s = symbols[ids]
+                base = float(logs[ids[ids >= 0]].sum())
                 if rare:
-                    s[outside] = [v.n_symbols + _class(w) for w in rare]
-                inner = logs[ids]
-                inner[outside] = 0.0
-                rows[0].append(len(words) + 1)
-                rows[1].append(len(words) - len(rare) + (v.ends > 0))
-                rows[2].append(float(inner.sum()) + end_log)
-                rows[3].append(float(inner[s >= v.n_symbols].sum()))
-                rows[4].append(np.append(s, np.int16(v.end)).astype("<i2").tobytes())
-                rows[5].append(rare)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, shape.field(k + 3).type) for k, c in enumerate(rows))], schema=shape)
+                    ids[outside] = [_RARE + (xxhash.xxh3_64_intdigest(w) >> 20) for w in rare]
+                docs.append((rid, doc_id, held, len(ids), len(words) - len(rare) + (v.ends > 0), base, rare))
+                held_back.append(ids)
+                n += len(ids)
+                if n >= size:
+                    yield batch_of(docs, held_back)
+                    docs, held_back, n = [], [], 0
+        if docs:
+            yield batch_of(docs, held_back)
 
     return run
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray]:
-    """Pieces of at least ``size`` symbols, if there are so many: a shorter rest goes with the piece before."""
-    ready, held, n = [], [], 0
-    for batch in batches:
-        for x in batch.column(0).to_pylist():
-            held.append(np.frombuffer(x, "<i2"))
-            n += len(held[-1])
-            if n >= size:
-                if ready:
-                    yield np.concatenate(ready)
-                ready, held, n = held, [], 0
-    if ready or held:
-        yield np.concatenate(ready + held)
-
-
-def _runs(s: np.ndarray, end: int, keep):
-    """For each length k up to DEPTH + 1, the keys of runs that ``keep`` the run without its last
-    symbol; keep(k, keys) returns a mask and is told every key once. Runs do not pass an end."""
-    s = s.astype(np.int64)
-    at = np.arange(len(s))
-    keys = s
-    for k in range(1, DEPTH + 2):
-        mask = keep(k, keys)
-        at, keys = at[mask], keys[mask]
-        live = (at + k < len(s)) & (s[np.minimum(at + k - 1, len(s) - 1)] != end)
-        at, keys = at[live], keys[live]
-        keys = (keys << _BITS) | s[at + k]
-
-
-def _candidates(support: float, end: int):
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _longer(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of runs with a word more."""
+    return _mix(run * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64) + np.uint64(1))
+
+
+def walk(ids: np.ndarray, lengths: np.ndarray, train: np.ndarray, v: Vocabulary) -> Generator:
+    """The scoring of a chunk. Yields questions, lists of (is a test, hashes, addends), and is sent a
+    list of answers for each: the totals over all chunks, or for tests whether they are above MARGIN.
+    Last it yields the probability of every token."""
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    train = np.repeat(train, lengths)
+    unit = train.astype(float)
+    known = np.concatenate([[v.ends], v.counts]).astype(float)
+    rare = np.flatnonzero(ids >= _RARE)
+    n = known[np.where(ids < _RARE, ids, 0)]
+    run = _longer(np.zeros(len(ids), np.uint64), ids)
+    at = np.flatnonzero(place >= 1)
+    context, longer = run[at - 1], _longer(run[at - 1], ids[at])
+    n[rare], own = yield [(False, run[rare], unit[rare]), (False, longer, unit[at])]
+    total = n[at - 1]
+    often = total >= MIN
+    at, context, longer, own, total = at[often], context[often], longer[often], own[often], total[often]
+    p = (n + ADD) / v.norm
+    best = p.copy()
+    for k in range(1, DEPTH + 1):
+        shorter = p[at]
+        mine = (own + MU * shorter) / (total + MU)
+        left_out = (np.maximum(own - 1, 0) + MU * shorter) / (total - 1 + MU)
+        ask = [(True, context, np.where(train[at], np.log(left_out / shorter), 0.0))]
+        if k < DEPTH:
+            n = np.zeros(len(ids))
+            n[at] = own
+            run = np.zeros(len(ids), np.uint64)
+            run[at] = longer
+            then = np.flatnonzero((n[:-1] >= MIN) & (place[1:] > k)) + 1
+            next_context, next_total = run[then - 1], n[then - 1]
+            next_longer = _longer(next_context, ids[then])
+            ask.append((False, next_longer, unit[then]))
+        kept, *counts = yield ask
+        kept = kept > 0
+        best[at[kept]] = mine[kept]
+        p[at] = mine
+        if k < DEPTH:
+            at, context, longer, own, total = then, next_context, next_longer, counts[0], next_total
+    yield best
+
+
+def _question(parts: list[tuple], bits: int):
+    """Distinct keys in order with their sums, and a function from answers in that order to answers
+    for each place asked about. The lowest bit of a key says whether it is a test."""
+    keys, sums, places = [], [], []
+    for test, hashes, addends in parts:
+        u, inverse = np.unique(((hashes >> np.uint64(64 - bits)) << np.uint64(1)) | np.uint64(test), return_inverse=True)
+        keys.append(u)
+        places.append(inverse)
+        s = np.bincount(inverse, addends, len(u))
+        sums.append(s.astype(np.float32).astype(float) if test else s)
+    whole = np.concatenate(keys)
+    order = np.argsort(whole, kind="stable")
+    ends = np.cumsum([len(u) for u in keys])
+
+    def spread(answer: np.ndarray) -> list[np.ndarray]:
+        back = np.empty(len(whole))
+        back[order] = answer
+        return [back[e - len(u) : e][i] for u, e, i in zip(keys, ends, places)]
+
+    return whole[order], np.concatenate(sums)[order], spread
+
+
+def _walked(row: dict, v: Vocabulary):
+    """Replays a chunk with the answers it has: the next question's keys and sums, or at the end the
+    tokens' probabilities, with the documents' lengths."""
+    lengths = np.array(row["lengths"], np.int64)
+    ids = _unpack(row["ids"], int(lengths.sum()), np.int64)
+    steps = walk(ids, lengths, ~np.array(row["held"], bool), v)
+    said = next(steps)
+    got: dict = {}
+    for a in sorted(row.get("answers") or [], key=lambda a: (a["round"], a["part"])):
+        got.setdefault(a["round"], []).append(_unpack(a["totals"], a["n"], np.float64))
+    for k in range(DEPTH + 1):
+        keys, sums, spread = _question(said, v.bits)
+        # a round in which a chunk asks nothing has no answers
+        if k not in got and (len(keys) or k >= row["round"]):
+            return keys, sums
+        said = steps.send(spread(np.concatenate(got[k]) if k in got else np.zeros(0)))
+    return said, lengths
+
+
+_ASKED = "chunk bigint, part int, n int, totals binary, keys binary"
+
+
+def _ask(vocab, round_: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in _chunks(batches, int(2 * _CHUNK / support)):
-            least, found = support * len(s), []
-
-            def keep(k: int, keys: np.ndarray) -> np.ndarray:
-                u, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
-                often = n >= least
-                found.append((k, u[often]))
-                return often[inverse]
-
-            _runs(s, end, keep)
-            for k, u in found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), k, np.int32)), pa.array(u)], names=["k", "run"])
+        v = vocab.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0] | {"round": round_}
+                keys, sums = _walked(row, v)
+                cut = max(0, v.bits - 30)  # the highest 30 bits say the part
+                part = ((keys >> np.uint64(cut + 1)) * np.uint64(parts)) >> np.uint64(v.bits - cut)
+                edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if len(keys) else [0]
+                spans = list(zip(edges, edges[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["chunk"]] * len(spans), pa.int64()),
+                        pa.array([int(part[a]) for a, _ in spans], pa.int32()),
+                        pa.array([b - a for a, b in spans], pa.int32()),
+                        pa.array([_pack(sums[a:b]) for a, b in spans], pa.binary()),
+                        pa.array([_pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()),
+                    ],
+                    names=["chunk", "part", "n", "totals", "keys"],
+                )
 
     return run
 
 
-def _count_runs(runs, end: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = runs.value
-        totals = [np.zeros(len(x), np.int64) for x in sets]
-
-        def keep(k: int, keys: np.ndarray) -> np.ndarray:
-            wanted = sets[k - 1]
-            if not len(wanted):
-                return np.zeros(len(keys), bool)
-            at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-            hit = wanted[at] == keys
-            np.add(totals[k - 1], np.bincount(at[hit], minlength=len(wanted)), out=totals[k - 1])
-            return hit
-
-        for s in _chunks(batches, 4_000_000):
-            _runs(s, end, keep)
-        for k, (u, n) in enumerate(zip(sets, totals), 1):
-            seen = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(seen.sum()), k, np.int32)), pa.array(u[seen]), pa.array(n[seen])], names=["k", "run", "n"])
+def _total(round_: int, margin: float):
+    def run(asked: pa.Table) -> pa.Table:
+        sizes = asked["n"].to_pylist()
+        keys = np.concatenate([np.cumsum(_unpack(k, n, np.uint64)) for k, n in zip(asked["keys"].to_pylist(), sizes)])
+        sums = np.concatenate([_unpack(s, n, np.float64) for s, n in zip(asked["totals"].to_pylist(), sizes)])
+        u, inverse = np.unique(keys, return_inverse=True)
+        total = np.bincount(inverse, sums, len(u))
+        total = np.where(u & np.uint64(1), total > margin, total)[inverse]
+        ends = np.cumsum(sizes).tolist()
+        answers = [_pack(np.ascontiguousarray(total[e - n : e])) for e, n in zip(ends, sizes)]
+        return pa.table({"chunk": asked["chunk"], "round": pa.array([round_] * len(sizes), pa.int32()), "part": asked["part"], "n": asked["n"], "totals": pa.array(answers, pa.binary())})
 
     return run
 
 
-def frequent_runs(symbols: DataFrame, tokens: int, end: int, support: float = SUPPORT) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Runs of 1 to DEPTH + 1 symbols with at least ``support`` of the tokens: sorted keys and
-    exact counts, by length."""
-    spark = symbols.sparkSession
-    parts = max(1, int(tokens * support / _CHUNK))
-    symbols = symbols.coalesce(parts)
-    found = store(symbols.mapInArrow(tidy(_candidates(support, end)), "k int, run bigint").distinct(), "runs")
-    passes = max(1, -(-found.count() // PASS_RUNS))
-    frequent = []
-    for i in range(passes):
-        got = found.filter(F.pmod(F.xxhash64("k", "run"), F.lit(passes)) == i).toPandas()
-        mine = [np.sort(got.loc[got["k"] == k, "run"].to_numpy(np.int64)) for k in range(1, DEPTH + 2)]
-        sets = list(mine)
-        for k in range(DEPTH, 0, -1):  # a run is met by way of its prefixes
-            sets[k - 1] = np.union1d(sets[k - 1], sets[k] >> _BITS)
-        shared = spark.sparkContext.broadcast(sets)
-        counted = symbols.mapInArrow(tidy(_count_runs(shared, end)), "k int, run bigint, n bigint")
-        counted = counted.groupBy("k", "run").agg(F.sum("n").alias("n")).filter(F.col("n") >= support * tokens).toPandas()
-        shared.unpersist()
-        # prefixes that are candidates of another pass are counted there
-        frequent += [counted[(counted["k"] == k) & counted["run"].isin(x)] for k, x in enumerate(mine, 1)]
-    drop_stored(found)
-    counted = pd.concat(frequent)
-    out = []
-    for k in range(1, DEPTH + 2):
-        part = counted[counted["k"] == k].sort_values("run")
-        out.append((part["run"].to_numpy(np.int64), part["n"].to_numpy(np.int64)))
-    return out
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-@dataclass
-class Tree:
-    """Kept contexts by length: keys, what they leave to their suffix, and their entries."""
-
-    root: np.ndarray  # probability of every symbol
-    contexts: list[np.ndarray]
-    left: list[np.ndarray]
-    entries: list[np.ndarray]  # keys of context and next symbol
-    shares: list[np.ndarray]
-
-    def next(self, history: np.ndarray, symbol: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        """P(symbol | history): history holds the last DEPTH symbols, the latest lowest; ``length``
-        says how many of them count."""
-        p = self.root[symbol]
-        for k, (contexts, left, entries, shares) in enumerate(zip(self.contexts, self.left, self.entries, self.shares), 1):
-            context = history & ((1 << (_BITS * k)) - 1)
-            at, hit = _find(contexts, context)
-            hit &= length >= k
-            rows = np.flatnonzero(hit)
-            if len(rows):
-                to, own = _find(entries, (context[rows] << _BITS) | symbol[rows])
-                p[rows] = left[at[rows]] * p[rows] + np.where(own, shares[to] if len(shares) else 0.0, 0.0)
-        return p
-
-
-def grow(v: Vocabulary, runs: list[tuple[np.ndarray, np.ndarray]], discount: float = DISCOUNT) -> Tree:
-    tree = Tree(v.mass / v.mass.sum(), [], [], [], [])
-    price = 0.5 * math.log(max(v.tokens, 2))
-    for k in range(1, DEPTH + 1):
-        (contexts, n), (entries, m) = runs[k - 1], runs[k]
-        at, hit = _find(contexts, entries >> _BITS)
-        entries, m, at = entries[hit], m[hit], at[hit]
-        total = n[at].astype(float)
-        share = np.maximum(m - discount, 0) / np.maximum(total, 1)
-        left = 1 - np.bincount(at, share, len(contexts)) if len(contexts) else np.zeros(0)
-        symbol = entries & ((1 << _BITS) - 1)
-        before = tree.next(entries >> _BITS, symbol, k - 1)
-        after = share + left[at] * before
-        gain = np.bincount(at, m * np.log(after / before), len(contexts)) if len(contexts) else np.zeros(0)
-        rest = n - np.bincount(at, m, len(contexts)) if len(contexts) else np.zeros(0)
-        entries_of = np.bincount(at, minlength=len(contexts)) if len(contexts) else np.zeros(0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = gain + np.where(rest > 0, rest * np.log(np.maximum(left, 1e-300)), 0.0)
-        kept = (gain > price * entries_of) & (entries_of > 0) & (left > 0)
-        mine = kept[at] if len(at) else np.zeros(0, bool)
-        tree.contexts.append(contexts[kept])
-        tree.left.append(left[kept])
-        tree.entries.append(entries[mine])
-        tree.shares.append(share[mine])
-    return tree
-
-
-def _score(shared):
+def _score(vocab):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, mass, first, end = shared.value
-        logs = np.where(np.arange(len(mass)) >= first, np.log10(mass), 0.0)
-        logs[end] = 0.0
+        v = vocab.value
         for batch in batches:
-            parts, blobs = [], batch.column(1).to_pylist()
-            at = 0
-            while at < len(blobs):
-                group, n = [], 0
-                while at < len(blobs) and (not group or n < 500_000):
-                    group.append(np.frombuffer(blobs[at], "<i2"))
-                    n += len(group[-1])
-                    at += 1
-                s = np.concatenate(group).astype(np.int64)
-                sizes = np.array([len(g) for g in group])
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                place = np.arange(len(s)) - np.repeat(starts, sizes)
-                history = np.zeros(len(s), np.int64)
-                for back in range(DEPTH, 0, -1):
-                    history[back:] |= s[:-back] << (_BITS * (back - 1)) if back < len(s) else 0
-                p = np.log10(tree.next(history, s, place)) - logs[s]
-                parts.append(np.add.reduceat(p, starts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["rid", "tree"])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0] | {"round": DEPTH + 1}
+                p, lengths = _walked(row, v)
+                tree = np.add.reduceat(np.log10(p), np.cumsum(lengths) - lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(row["rids"], pa.int64()), pa.array(tree)], names=["rid", "tree"])
 
     return run
 
 
+def tree_scores(coded: DataFrame, vocab, parts: int, buckets: int) -> DataFrame:
+    """rid and the log10 probability of every document; ``coded`` is bucketed by chunk."""
+    chunks = coded.filter("ids is not null").select("chunk", "ids", "rids", "lengths", "held")
+    answers: list[DataFrame] = []
+
+    def answered() -> DataFrame:
+        if not answers:
+            return chunks
+        every = answers[0]
+        for more in answers[1:]:
+            every = every.unionByName(more)
+        every = every.repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("round", "part", "n", "totals")).alias("answers"))
+        return chunks.join(every, "chunk", "left")
+
+    for k in range(DEPTH + 1):
+        asked = answered().mapInArrow(tidy(_ask(vocab, k, parts)), _ASKED)
+        answers.append(store(asked.groupBy("part").applyInArrow(_total(k, MARGIN), "chunk bigint, round int, part int, n int, totals binary"), f"round{k}"))
+    tree = store(answered().mapInArrow(tidy(_score(vocab)), "rid bigint, tree double"), "tree")
+    drop_stored(*answers)
+    return tree
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document; the
     model learns from those that are not held out."""
@@ -346,27 +337,29 @@ def score(docs: DataFrame) -> DataFrame:
     train = rows.filter("not held_out")
     counts = store(train.select("text").mapInArrow(tidy(_count_words), "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
     v = vocabulary(counts, train.count())
-    shared = spark.sparkContext.broadcast(v)  # at most 1/DICTIONARY words
-    schema = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inside double, symbols binary, rare array<binary>"
-    coded = store(rows.mapInArrow(tidy(_encode(shared)), schema), "coded")
-    runs = frequent_runs(coded.filter("not held_out").select("symbols"), v.tokens, v.end)
-    model = spark.sparkContext.broadcast((grow(v, runs), v.mass, v.n_symbols, v.end))
-    tree = coded.select("rid", "symbols").mapInArrow(tidy(_score(model)), "rid bigint, tree double")
+    vocab = spark.sparkContext.broadcast(v)  # at most 1/DICTIONARY words
+    buckets = min(100_000, max(partitions(spark), -(-v.tokens // CHUNK)))
+    parts = max(1, -(-v.tokens // PART))
+    name, path = f"gridloom_coded_{uuid.uuid4().hex}", new_path(spark, "coded")
+    rows.mapInArrow(tidy(_encode(vocab, CHUNK)), _CODED).write.bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
+    coded = spark.table(name)
+    tree = tree_scores(coded, vocab, parts, buckets)
+    documents = spark.read.schema(coded.schema).parquet(path).filter("rid is not null")
+    spark.sql(f"DROP TABLE {name}")  # the files stay
     # the words outside the dictionary, with their counts
-    rare = coded.select("rid", F.explode("rare").alias("word")).join(counts, "word", "left")
+    rare = documents.select("rid", F.explode("rare").alias("word")).join(counts, "word", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))
     rare = rare.groupBy("rid").agg(F.sum(log).alias("log"), F.count("c").alias("met"))
-    out = coded.drop("symbols", "rare").join(tree, "rid").join(rare, "rid", "left")
+    out = documents.select("rid", "doc_id", "held_out", "n_tokens", "known", "base").join(tree, "rid").join(rare, "rid", "left")
     log, met = F.coalesce("log", F.lit(0.0)), F.coalesce("met", F.lit(0))
-    norm = math.log10(v.tokens + ADD * (v.distinct + 1))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + met).alias("n_known"),
         F.lit(v.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + log - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("tree") + F.col("inside") + log).alias("score"),
+        (F.col("base") + log - F.col("n_tokens") * math.log10(v.norm)).alias("base_score"),
+        F.col("tree").alias("score"),
     )
 
 
