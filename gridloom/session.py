@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,19 @@ def few(df: DataFrame, rows: int, per: int = 100_000) -> DataFrame:
     return df.coalesce(max(8, -(-rows // per)))
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside give the disk of their shuffles back when they end, not when the driver
+    happens to collect garbage. For queries whose result is written: nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def store(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost
     executor costs a re-read, not a recomputation. ``rows``, if known, keeps small tables in few
@@ -60,7 +75,8 @@ def store(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     path = new_path(spark, label)
     if rows is not None:
         df = few(df, rows)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._gridloom_path = path
     return back
