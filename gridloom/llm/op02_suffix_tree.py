@@ -209,25 +209,17 @@ def walk(ids: np.ndarray, lengths: np.ndarray, train: np.ndarray, v: Vocabulary)
 
 
 def _question(parts: list[tuple], bits: int):
-    """Distinct keys in order with their sums, and a function from answers in that order to answers
+    """Distinct keys in order with their places, and a function from answers in that order to answers
     for each place asked about. The lowest bit of a key says whether it is a test."""
-    keys, sums, places = [], [], []
-    for test, hashes, addends in parts:
-        u, inverse = np.unique(((hashes >> np.uint64(64 - bits)) << np.uint64(1)) | np.uint64(test), return_inverse=True)
-        keys.append(u)
-        places.append(inverse)
-        s = np.bincount(inverse, addends, len(u))
-        sums.append(s.astype(np.float32).astype(float) if test else s)
-    whole = np.concatenate(keys)
-    order = np.argsort(whole, kind="stable")
-    ends = np.cumsum([len(u) for u in keys])
+    keys = np.concatenate([((hashes >> np.uint64(64 - bits)) << np.uint64(1)) | np.uint64(test) for test, hashes, _ in parts])
+    u, places = np.unique(keys, return_inverse=True)
+    ends = np.cumsum([len(hashes) for _, hashes, _ in parts])[:-1]
+    return u, places, lambda answer: np.split(answer[places], ends)
 
-    def spread(answer: np.ndarray) -> list[np.ndarray]:
-        back = np.empty(len(whole))
-        back[order] = answer
-        return [back[e - len(u) : e][i] for u, e, i in zip(keys, ends, places)]
 
-    return whole[order], np.concatenate(sums)[order], spread
+def _sums(parts: list[tuple], keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    s = np.bincount(places, np.concatenate([addends for _, _, addends in parts]), len(keys))
+    return np.where(keys & np.uint64(1), s.astype(np.float32), s)  # tests need fewer digits
 
 
 def _walked(row: dict, v: Vocabulary):
@@ -241,10 +233,10 @@ def _walked(row: dict, v: Vocabulary):
     for a in sorted(row.get("answers") or [], key=lambda a: (a["round"], a["part"])):
         got.setdefault(a["round"], []).append(_unpack(a["totals"], a["n"], np.float64))
     for k in range(DEPTH + 1):
-        keys, sums, spread = _question(said, v.bits)
+        keys, places, spread = _question(said, v.bits)
         # a round in which a chunk asks nothing has no answers
         if k not in got and (len(keys) or k >= row["round"]):
-            return keys, sums
+            return keys, _sums(said, keys, places)
         said = steps.send(spread(np.concatenate(got[k]) if k in got else np.zeros(0)))
     return said, lengths
 
