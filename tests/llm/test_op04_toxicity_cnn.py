@@ -60,3 +60,57 @@ def test_cutoff():
     s, y = np.array([0.1, 0.2, 0.9, 0.95]), np.array([0, 0, 1, 1])
     assert 0.2 < m._cutoff(s, y) < 0.9
     assert m._cutoff(s, np.zeros(4, int)) == 0.5 and m._cutoff(np.zeros(0), np.zeros(0, int)) == 0.5
+
+
+def test_every_labelled_document_is_learnt_from(spark, monkeypatch):
+    """Of 9,000 labelled documents the last by hash have a toxic word of their own."""
+    ids = [r["id"] for r in spark.range(9000).selectExpr("id", "xxhash64(id) as at").orderBy("at").collect() if not held(r["id"])]
+    late = set(ids[6500:])
+    plain = ["red", "green", "blue", "sun", "moon", "tree"]
+    rows = []
+    for i in range(9000):
+        words, toxic = [plain[(i * k) % 6] for k in range(1, 5)], int(i % 7 == 0)
+        rows.append((i, " ".join(words + ["late" if i in late else "early"] * toxic), "en", toxic))
+    both = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int")
+    monkeypatch.setattr(m, "SHARD_DOCS", 2000)
+    docs, labels = both.select("doc_id", "text", "lang"), both.select("doc_id", "toxic")
+    c = m.learn(docs, labels)
+    a, b, none = c.score([m.word_ids(t) for t in ("sun late tree", "sun early tree", "sun moon tree")])
+    assert a > 0.5 and b > 0.5 and none < 0.1
+    assert none < c.thresholds["en"] < a
+    # the same model, however the rows lie
+    again = m.learn(docs.repartition(7), labels.repartition(3))
+    assert (again.embed == c.embed).all() and again.shift == c.shift and again.thresholds == c.thresholds
+
+
+def test_a_pass_meets_every_document():
+    turns = m._turns(np.arange(50), 24, np.random.default_rng(1))
+    met = np.concatenate([next(turns) for _ in range(3)])
+    assert set(met.tolist()) == set(range(50))
+
+
+def test_more_words_than_rows(monkeypatch):
+    monkeypatch.setattr(m, "ROWS", 8)
+    c = m._start(np.arange(20, 40), 0.5)
+    rows = c.rows(np.arange(20, 40)).tolist()
+    assert rows[:4] == [1, 2, 3, 4] and set(rows[4:]) == {5, 6, 7, 8} and len(c.embed) == 9
+    assert c.rows(np.array([5, m.BUCKETS])).tolist() == [0, 0]
+
+
+def test_responses_of_long_texts_by_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    c = m._start(np.arange(30), 0.3)
+    ids, at = m._lay([rng.integers(0, 31, n).astype(np.int32) for n in (1, 90, 7, 40)], 0)
+    whole = m._peaks(c, ids, at)
+    monkeypatch.setattr(m, "_PIECE", 16)
+    for a, b in zip(whole, m._peaks(c, ids, at)):
+        assert np.allclose(a, b, atol=1e-6)
+
+
+def test_cut_by_steps():
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 400)
+    score = np.round(np.clip(0.3 * y + 0.7 * rng.random(400), 0, 1), 2)
+    at = m._cutoff(score, y)
+    errors = lambda t: (y[score < t] == 1).sum() + (y[score >= t] == 0).sum()
+    assert errors(at) == min(errors(t) for t in [*np.unique(score), 1.1])
