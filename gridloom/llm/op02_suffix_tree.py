@@ -34,6 +34,7 @@ import uuid
 from collections import Counter
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -166,59 +167,128 @@ def _longer(run: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(run * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64) + np.uint64(1))
 
 
+def _gains(own: np.ndarray, total: np.ndarray, shorter: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """What a context's occurrences, each left out, gain over its suffix."""
+    left_out = (np.maximum(own - 1, 0) + MU * shorter) / (total - 1 + MU)
+    return np.where(train, np.log(left_out / shorter), 0.0)
+
+
+def _place(n: int) -> type:
+    """The smaller of the types that hold places below ``n``."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` of unsigned numbers with their inverse, quicker: they are dealt by their highest
+    eight bits, and each slice is sorted with the places in the bits that leaves free."""
+    if len(keys) < 1000:
+        return np.unique(keys, return_inverse=True)
+    low = keys.min()
+    keys = keys - low
+    shift = max(0, int(keys.max()).bit_length() - 8)
+    top = (keys >> np.uint64(shift)).astype(np.uint8)
+    sizes = np.bincount(top, minlength=256)
+    wide = int(sizes.max()).bit_length()
+    if shift + wide > 64:
+        u, inverse = np.unique(keys, return_inverse=True)
+        return u + low, inverse
+    order = np.argsort(top, kind="stable")
+    ends = np.cumsum(sizes)
+    starts = np.repeat(ends - sizes, sizes)
+    # the highest eight bits, the same in a slice, may go
+    mixed = (keys[order] << np.uint64(wide)) | (np.arange(len(keys)) - starts).astype(np.uint64)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        mixed[a:b].sort()
+    mixed &= np.uint64((1 << wide) - 1)
+    order = order[mixed.astype(np.int64) + starts]
+    del mixed, starts
+    keys = keys[order]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    inverse = np.empty(len(keys), _place(len(keys)))
+    inverse[order] = np.cumsum(first) - 1
+    return keys[first] + low, inverse
+
+
+def _regroup(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``keys`` that ``group`` names, in order, and the places of its entries among them."""
+    used = np.flatnonzero(np.bincount(group, minlength=len(keys)))
+    used = used[np.argsort(keys[used], kind="stable")]
+    rank = np.empty(len(keys), group.dtype)
+    rank[used] = np.arange(len(used))
+    return keys[used], rank[group]
+
+
 def walk(ids: np.ndarray, lengths: np.ndarray, train: np.ndarray, v: Vocabulary) -> Generator:
-    """The scoring of a chunk. Yields questions, lists of (is a test, hashes, addends), and is sent a
-    list of answers for each: the totals over all chunks, or for tests whether they are above MARGIN.
-    Last it yields the probability of every token."""
+    """The scoring of a chunk. Yields questions, lists of (is a test, hashes in order, places among
+    them, addends or a function that gives them, which replays need not call), and is sent a list of
+    answers for each: the totals over all chunks, or for tests whether they are above MARGIN. Last it
+    yields the probability of every token. A context was a run of the round before, so that only the
+    longer runs are sorted."""
     place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     train = np.repeat(train, lengths)
     unit = train.astype(float)
     known = np.concatenate([[v.ends], v.counts]).astype(float)
+    short = lambda hashes: hashes >> np.uint64(64 - v.bits)
     rare = np.flatnonzero(ids >= _RARE)
     n = known[np.where(ids < _RARE, ids, 0)]
     run = _longer(np.zeros(len(ids), np.uint64), ids)
     at = np.flatnonzero(place >= 1)
-    context, longer = run[at - 1], _longer(run[at - 1], ids[at])
-    n[rare], own = yield [(False, run[rare], unit[rare]), (False, longer, unit[at])]
+    longer = _longer(run[at - 1], ids[at])
+    words, word = _distinct(short(run[rare]))
+    after, way = _distinct(short(longer))
+    n[rare], own = yield [(False, words, word, unit[rare]), (False, after, way, unit[at])]
     total = n[at - 1]
     often = total >= MIN
-    at, context, longer, own, total = at[often], context[often], longer[often], own[often], total[often]
+    at, longer, way, own, total = at[often], longer[often], way[often], own[often], total[often]
+    group = np.where(ids < _RARE, ids, 0).astype(_place(len(known) + len(words)))
+    group[rare] = len(known) + word
+    keys = np.concatenate([short(_longer(np.zeros(len(known), np.uint64), np.arange(len(known)))), words])
+    group = group[at - 1]
     p = (n + ADD) / v.norm
     best = p.copy()
     for k in range(1, DEPTH + 1):
         shorter = p[at]
         mine = (own + MU * shorter) / (total + MU)
-        left_out = (np.maximum(own - 1, 0) + MU * shorter) / (total - 1 + MU)
-        ask = [(True, context, np.where(train[at], np.log(left_out / shorter), 0.0))]
+        ask = [(True, *_regroup(keys, group), partial(_gains, own, total, shorter, train[at]))]
         if k < DEPTH:
             n = np.zeros(len(ids))
             n[at] = own
             run = np.zeros(len(ids), np.uint64)
             run[at] = longer
+            group = np.zeros(len(ids), way.dtype)
+            group[at] = way
             then = np.flatnonzero((n[:-1] >= MIN) & (place[1:] > k)) + 1
-            next_context, next_total = run[then - 1], n[then - 1]
-            next_longer = _longer(next_context, ids[then])
-            ask.append((False, next_longer, unit[then]))
+            keys, group, next_total = after, group[then - 1], n[then - 1]
+            longer = _longer(run[then - 1], ids[then])
+            after, way = _distinct(short(longer))
+            ask.append((False, after, way, unit[then]))
         kept, *counts = yield ask
         kept = kept > 0
         best[at[kept]] = mine[kept]
         p[at] = mine
         if k < DEPTH:
-            at, context, longer, own, total = then, next_context, next_longer, counts[0], next_total
+            at, own, total = then, counts[0], next_total
     yield best
 
 
-def _question(parts: list[tuple], bits: int):
+def _question(parts: list[tuple]):
     """Distinct keys in order with their places, and a function from answers in that order to answers
     for each place asked about. The lowest bit of a key says whether it is a test."""
-    keys = np.concatenate([((hashes >> np.uint64(64 - bits)) << np.uint64(1)) | np.uint64(test) for test, hashes, _ in parts])
-    u, places = np.unique(keys, return_inverse=True)
-    ends = np.cumsum([len(hashes) for _, hashes, _ in parts])[:-1]
-    return u, places, lambda answer: np.split(answer[places], ends)
-
-
-def _sums(parts: list[tuple], keys: np.ndarray, places: np.ndarray) -> np.ndarray:
-    s = np.bincount(places, np.concatenate([addends for _, _, addends in parts]), len(keys))
+    keys = np.concatenate([(hashes << np.uint64(1)) | np.uint64(test) for test, hashes, _, _ in parts])
+    order = np.argsort(keys, kind="stable")  # merges what is in order
+    keys = keys[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    rank = np.empty(len(keys), _place(len(keys)))
+    rank[order] = np.cumsum(first) - 1
+    ranks = np.split(rank, np.cumsum([len(hashes) for _, hashes, _, _ in parts])[:-1])
+    places = [r[at] for r, (_, _, at, _) in zip(ranks, parts)]
+    return keys[first], places, lambda answer: [answer[at] for at in places]
+
+
+def _sums(parts: list[tuple], keys: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    addends = [x() if callable(x) else x for _, _, _, x in parts]
+    s = np.bincount(np.concatenate(places), np.concatenate(addends), len(keys))
     return np.where(keys & np.uint64(1), s.astype(np.float32), s)  # tests need fewer digits
 
 
@@ -233,7 +303,7 @@ def _walked(row: dict, v: Vocabulary):
     for a in sorted(row.get("answers") or [], key=lambda a: (a["round"], a["part"])):
         got.setdefault(a["round"], []).append(_unpack(a["totals"], a["n"], np.float64))
     for k in range(DEPTH + 1):
-        keys, places, spread = _question(said, v.bits)
+        keys, places, spread = _question(said)
         # a round in which a chunk asks nothing has no answers
         if k not in got and (len(keys) or k >= row["round"]):
             return keys, _sums(said, keys, places)
@@ -274,7 +344,7 @@ def _total(round_: int, margin: float):
         sizes = asked["n"].to_pylist()
         keys = np.concatenate([np.cumsum(_unpack(k, n, np.uint64)) for k, n in zip(asked["keys"].to_pylist(), sizes)])
         sums = np.concatenate([_unpack(s, n, np.float64) for s, n in zip(asked["totals"].to_pylist(), sizes)])
-        u, inverse = np.unique(keys, return_inverse=True)
+        u, inverse = _distinct(keys)
         total = np.bincount(inverse, sums, len(u))
         total = np.where(u & np.uint64(1), total > margin, total)[inverse]
         ends = np.cumsum(sizes).tolist()

@@ -140,3 +140,36 @@ def test_totals_over_chunks():
     said = m._total(0, 0.0)(asked)
     got = [m._unpack(t, n, np.float64).tolist() for t, n in zip(said["totals"].to_pylist(), said["n"].to_pylist())]
     assert got == [[1.0, 7.0, 1.0], [7.0, 1.0]]
+
+
+def test_distinct_numbers_and_their_places():
+    rng = np.random.default_rng(4)
+    for top, n in ((1, 5000), (40, 5000), (2**46, 20_000), (2**63, 3000), (2**20, 30_000), (2**46, 5)):
+        keys = rng.integers(0, top, n).astype(np.uint64) + np.uint64(2**50 if top < 2**50 else 0)
+        keys[: n // 3] = keys[n // 2]  # one that is frequent
+        u, places = m._distinct(keys)
+        want, at = np.unique(keys, return_inverse=True)
+        assert (u == want).all() and (places == at).all()
+    # no bits are free: a frequent value fills a slice
+    keys = np.concatenate([np.zeros(70_000, np.uint64), rng.integers(0, 2**64 - 1, 2000, np.uint64)])
+    u, places = m._distinct(keys)
+    assert (u[places] == keys).all() and (np.diff(u) > 0).all()
+
+
+def test_replays_skip_the_gains(monkeypatch):
+    """A replayed round needs its answers, not what it added up to ask."""
+    called = []
+    gains = m._gains
+    monkeypatch.setattr(m, "_gains", lambda *x: called.append(1) or gains(*x))
+    v = m.Vocabulary([b"a", b"b"], np.array([6, 6]), 14, 3, 2)
+    ids = np.array([1, 2, 1, 2, 1, 2, 0] * 2)
+    row = {"lengths": [7, 7], "ids": m._pack(ids), "held": [False, False], "answers": [], "round": 0}
+    for k in range(m.DEPTH + 1):
+        row["round"] = k
+        called.clear()
+        keys, sums = m._walked(row, v)
+        assert len(called) == (k > 0)
+        row["answers"].append({"round": k, "part": 0, "n": len(keys), "totals": m._pack(np.asarray(sums, float))})
+    called.clear()
+    p, _ = m._walked(row | {"round": m.DEPTH + 1}, v)
+    assert not called and (p > 0).all()
