@@ -2,9 +2,11 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from gridloom.llm import op02_suffix_tree as m
@@ -173,3 +175,65 @@ def test_replays_skip_the_gains(monkeypatch):
     called.clear()
     p, _ = m._walked(row | {"round": m.DEPTH + 1}, v)
     assert not called and (p > 0).all()
+
+
+def rounds_here(docs, frequent, size=60, parts=3):
+    """The rounds in this process: scored rows, the chunks with all answers, and sorts a round."""
+    texts = [(w.encode() for w in words(d["text"])) for d in docs if not held(d["doc_id"])]
+    ends, c = len(texts), Counter(w for t in texts for w in t)
+    known = sorted(frequent)
+    v = m.Vocabulary(known, np.array([c[w] for w in known]), sum(c.values()) + ends, len(c) + 1, ends)
+    vocab = SimpleNamespace(value=v)
+    rows = pa.table({"rid": range(len(docs)), "doc_id": pa.array([d["doc_id"] for d in docs], pa.int64()), "held": [held(d["doc_id"]) for d in docs], "text": pa.array([(d["text"] or "").encode() for d in docs], pa.binary())})
+    chunks = [r for b in m._encode(vocab, size)(rows.to_batches(max_chunksize=7)) for r in b.to_pylist()]
+    last, every, sorts = {}, {}, []
+    sort = m._distinct
+    for k in range(m.DEPTH + 2):
+        sorts.append(0)
+        m._distinct = lambda keys: sorts.__setitem__(-1, sorts[-1] + 1) or sort(keys)
+        try:
+            at = pa.RecordBatch.from_pylist([r | {"answers": last.get(r["chunk"], [])} for r in chunks]).slice
+            step = m._ask(vocab, k, parts) if k <= m.DEPTH else m._score(vocab, parts)
+            out = [b for i in range(len(chunks)) for b in step([at(i, 1)])]
+        finally:
+            m._distinct = sort
+        if k > m.DEPTH:
+            return pa.Table.from_batches(out).to_pylist(), v, chunks, every, [n / len(chunks) for n in sorts]
+        last, asked = {c: [a for a in x if a["part"] < 0] for c, x in every.items()}, pa.Table.from_batches(out)
+        for part in sorted(set(asked["part"].to_pylist())):
+            for a in m._total(k, m.MARGIN, parts)(asked.filter(pa.compute.equal(asked["part"], part))).to_pylist():
+                last.setdefault(a["chunk"], []).append(a)
+                every.setdefault(a["chunk"], []).append(a)
+
+
+def some_docs(n=80):
+    rng = np.random.default_rng(6)
+    return [{"doc_id": i, "text": " ".join(f"w{int(x)}" for x in rng.zipf(1.5, rng.integers(0, 25)) % 50)} for i in range(n)]
+
+
+def test_rounds_go_on_from_what_was_told():
+    scored, v, chunks, every, sorts = rounds_here(some_docs(), [b"w1", b"w2"])
+    assert len(chunks) > 5 and sorts == [1, 2, 3, 3, 1]  # of the runs asked about last and now
+    again = []
+    for row in chunks:
+        answers = every[row["chunk"]]
+        met = [m._unpack(a["totals"], a["n"], float) for a in sorted(answers, key=lambda a: a["part"]) if a["part"] >= 3]
+        row |= {"answers": [a for a in answers if 0 <= a["part"] < 3], "met": np.concatenate(met), "round": m.DEPTH + 1}
+        p, lengths = m._walked(row, v)
+        again += np.add.reduceat(np.log10(p), np.cumsum(lengths) - lengths).tolist()
+    assert [r["score"] for r in scored] == again
+
+
+def test_words_of_one_hash_are_counted_apart(monkeypatch):
+    monkeypatch.setattr(m, "_hashes", lambda words: np.zeros(len(words), np.uint64))
+    docs = some_docs() + [{"doc_id": None, "text": None}, {"doc_id": 999, "text": " \n unmet W2\x0bw2 é\x1cw2 \t"}]
+    rows, v, *_ = rounds_here(docs, [b"w1"])
+    check_base(docs, [r | {"train_tokens": v.tokens, "score": -1.0} for r in rows])  # runs of one hash are one run
+
+
+def test_words_as_python_splits_them():
+    texts = [b"", b" ", b"a", b" A\tb\x0b\x0cC\r\nd ", "É é\x1c x\xa0y".encode(), b"\xff\xfe \x85z"]
+    got, sizes = m._words(pa.array(texts, pa.binary()))
+    want = [t.lower().split() for t in texts]
+    assert got.cast(pa.binary()).to_pylist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+    assert m._unpack_words(m._pack_words(got)).cast(pa.binary()).to_pylist() == sum(want, [])
