@@ -170,9 +170,14 @@ def _peaks(c: Classifier, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     best = np.full((len(at), FILTERS * len(WIDTHS)), -np.inf, np.float32)
     where = np.zeros(best.shape, np.int64)
     flat = np.concatenate([k[j].T for k in c.kernels for j in range(len(k))])
+    # one product a row: equal words respond alike, to the last bit, wherever they stand
+    used = np.zeros(len(c.embed), bool)
+    used[ids] = True
+    column = (np.cumsum(used, dtype=np.int64) - 1)[ids]
+    table = flat @ c.embed[used].T
     for s in range(0, len(ids), _PIECE):
         e = min(s + _PIECE, len(ids))
-        x = flat @ c.embed[ids[s : e + max(WIDTHS) - 1]].T
+        x = table.take(column[s : e + max(WIDTHS) - 1], axis=1, mode="clip")
         docs = range(np.searchsorted(at[:, 1], s, side="right"), np.searchsorted(at[:, 0], e))
         rows = 0
         for n, k in enumerate(c.kernels):

@@ -114,3 +114,13 @@ def test_cut_by_steps():
     at = m._cutoff(score, y)
     errors = lambda t: (y[score < t] == 1).sum() + (y[score >= t] == 0).sum()
     assert errors(at) == min(errors(t) for t in [*np.unique(score), 1.1])
+
+
+def test_equal_windows_respond_alike():
+    c = m._start(np.arange(30), 0.3)
+    for n in range(1, 60):  # whatever the lengths of the matrices, the first of equal places is taken
+        ids, at = m._lay([np.full(n, 5, np.int32), np.tile(np.array([7, 9], np.int32), n)], 0)
+        _, where = m._peaks(c, ids, at)
+        ends = [set(range(max(0, n - 2), n)), set(range(2 * n - 2, 2 * n))]
+        for d, end in enumerate(ends):
+            assert set((where[d] - at[d, 0]).tolist()) <= {0, 1} | end
